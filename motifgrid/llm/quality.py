@@ -100,4 +100,6 @@ def measured(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents that pass, without their failing lines; all columns of docs."""
     names = docs.columns
-    return measures(docs, text).filter("__kept").select(*[F.col("__clean").alias(k) if k == text else F.col(f"`{k}`") for k in names])
+    # a column that isn't deterministic keeps the filter above the projections, which would be copied into it
+    rows = measures(docs, text).withColumn("__row", F.monotonically_increasing_id())
+    return rows.filter("__kept and __row >= 0").select(*[F.col("__clean").alias(k) if k == text else F.col(f"`{k}`") for k in names])
