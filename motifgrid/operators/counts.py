@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ALL = W.partitionBy()  # for tables of alphabet size only
+def everything():
+    """A window over all rows, for tables of alphabet size only."""
+    return W.partitionBy()
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def _with_margins(full: DataFrame) -> DataFrame:
     full = full.join(turned, ["a", "b"])
     by_a, by_b = W.partitionBy("a"), W.partitionBy("b")
     full = full.withColumn("s_a", F.sum(F.col("n") + F.col("t")).over(by_a)).withColumn("s_b", F.sum(F.col("n") + F.col("t")).over(by_b))
-    return full.withColumn("total", F.sum("n").over(ALL))
+    return full.withColumn("total", F.sum("n").over(everything()))
 
 
 def _ratio() -> tuple[Column, Column]:
@@ -53,7 +55,7 @@ def substitution_scores(counts: DataFrame, size: int) -> DataFrame:
     both, ratio = _ratio()
     raw = F.when(both > 0, F.bround(2.0 * F.log2(F.when(both > 0, ratio))))
     d = grid(counts, size).withColumn("raw", raw)
-    return d.select("a", "b", F.coalesce("raw", F.min(F.coalesce("raw", F.lit(0.0))).over(ALL)).cast("int").alias("score"))
+    return d.select("a", "b", F.coalesce("raw", F.min(F.coalesce("raw", F.lit(0.0))).over(everything())).cast("int").alias("score"))
 
 
 def mutual_information(counts: DataFrame, size: int) -> DataFrame:
@@ -67,7 +69,7 @@ def negative_entropy(counts: DataFrame, size: int) -> DataFrame:
     """Sum of p ln p over letters, one pseudo-count a cell."""
     d = grid(counts, size).select("a", "b", (F.col("n") + 1).alias("n"))
     ends = d.select(F.explode(F.array("a", "b")).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("n"))
-    p = F.col("n") / F.sum("n").over(ALL)
+    p = F.col("n") / F.sum("n").over(everything())
     return ends.select((p * F.ln(p)).alias("x")).agg(F.sum("x").alias("neg_entropy"))
 
 
@@ -80,14 +82,14 @@ def joint_information(joint: DataFrame) -> DataFrame:
 def unordered(pairs: DataFrame) -> DataFrame:
     """a <= b, n, p and half (p, halved off the diagonal)."""
     d = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
-    d = d.withColumn("p", F.col("n") / F.sum("n").over(ALL))
+    d = d.withColumn("p", F.col("n") / F.sum("n").over(everything()))
     return d.withColumn("half", F.when(F.col("a") == F.col("b"), F.col("p")).otherwise(F.col("p") / 2))
 
 
 def unordered_scores(pairs: DataFrame, size: int) -> DataFrame:
     """a <= b, score: twice the log2 odds, rounded half to even, -10 where undefined."""
     d = unordered(pairs)
-    singles = d.select(F.explode(F.array("a", "b")).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("m")).withColumn("q", F.col("m") / F.sum("m").over(ALL)).select("letter", "q")
+    singles = d.select(F.explode(F.array("a", "b")).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("m")).withColumn("q", F.col("m") / F.sum("m").over(everything())).select("letter", "q")
     one = pairs.sparkSession.range(size).select(F.col("id").cast("int").alias("a"))
     full = one.crossJoin(one.withColumnRenamed("a", "b")).filter("a <= b").join(d.select("a", "b", "p"), ["a", "b"], "left")
     full = full.join(singles.select(F.col("letter").alias("a"), F.col("q").alias("qa")), "a", "left").join(singles.select(F.col("letter").alias("b"), F.col("q").alias("qb")), "b", "left")
@@ -98,7 +100,7 @@ def unordered_scores(pairs: DataFrame, size: int) -> DataFrame:
 
 def cross_log_odds(counts: DataFrame) -> DataFrame:
     """a, b, n, log_odds (ln, -10 where n is 0) and of_b (share of b's count) between two alphabets."""
-    row, column, all_ = F.sum("n").over(W.partitionBy("a")), F.sum("n").over(W.partitionBy("b")), F.sum("n").over(ALL)
+    row, column, all_ = F.sum("n").over(W.partitionBy("a")), F.sum("n").over(W.partitionBy("b")), F.sum("n").over(everything())
     odds = F.when(F.col("n") > 0, F.ln(F.col("n").cast("double") * all_ / (row * column))).otherwise(-10.0)
     return counts.select("a", "b", "n", odds.alias("log_odds"), F.try_divide(F.col("n").cast("double"), column).alias("of_b"))
 
@@ -108,7 +110,7 @@ def edge_bins(edges: DataFrame, off: int) -> tuple[DataFrame, DataFrame]:
     d = edges.select(F.coalesce("bin1", F.lit(off)).alias("x"), F.coalesce("bin2", F.lit(off)).alias("y")).filter(f"not (x = {off} and y = {off})")
     pairs = d.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"))
     singles = pairs.select(F.explode(F.array("a", "b")).alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n"))
-    p = lambda d: d.withColumn("p", F.col("n") / F.sum("n").over(ALL))  # noqa: E731  one row a bin or pair of bins
+    p = lambda d: d.withColumn("p", F.col("n") / F.sum("n").over(everything()))  # noqa: E731  one row a bin or pair of bins
     return p(pairs), p(singles)
 
 
@@ -122,7 +124,7 @@ def transitions(pairs: DataFrame) -> DataFrame:
 def background(letters: DataFrame) -> DataFrame:
     """letter, n, p."""
     d = letters.groupBy("letter").agg(F.count("*").alias("n"))
-    return d.withColumn("p", F.col("n") / F.sum("n").over(ALL))
+    return d.withColumn("p", F.col("n") / F.sum("n").over(everything()))
 
 
 def score_distribution(back: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -146,9 +148,9 @@ FLAT, RISE, TOP, LIFT = 8, 25, 75, 0.5
 def repaired_scores(aligned: DataFrame, everything: DataFrame) -> DataFrame:
     """bin, raw (twice the ln of aligned / all pairs / overall share) and score, flat below and above, linear where it is noisy."""
     d = everything.select("bin", F.col("n").alias("all_n")).join(aligned.select("bin", "n"), "bin", "left")
-    share = F.sum("n").over(ALL) / F.sum("all_n").over(ALL)
+    share = F.sum("n").over(everything()) / F.sum("all_n").over(everything())
     d = d.select("bin", (2.0 * F.ln(F.col("n") / F.col("all_n") / share)).alias("raw"))
-    at = lambda b: F.max(F.when(F.col("bin") == b, F.col("raw"))).over(ALL)
+    at = lambda b: F.max(F.when(F.col("bin") == b, F.col("raw"))).over(everything())
     low, mid, top = at(FLAT), at(RISE), at(TOP)
     line = (F.col("bin") - FLAT) / float(RISE - FLAT) * (mid - low) + low
     curve = F.when(F.col("bin") < FLAT, low).when(F.col("bin") < RISE, line).when(F.col("bin") < TOP, F.col("raw")).otherwise(top + LIFT)
@@ -158,7 +160,7 @@ def repaired_scores(aligned: DataFrame, everything: DataFrame) -> DataFrame:
 def angle_histogram(residues: DataFrame, n: int = 30) -> DataFrame:
     """phi_bin, psi_bin, shares among all, PRO and GLY, and whether any exceeds 1 / n^2."""
     d = residues.groupBy("phi_bin", "psi_bin").agg(F.count("*").alias("n"), F.count_if(F.col("resname") == "PRO").alias("n_pro"), F.count_if(F.col("resname") == "GLY").alias("n_gly"))
-    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.sum(c).over(ALL)), F.lit(0.0))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.sum(c).over(everything())), F.lit(0.0))
     d = d.select("phi_bin", "psi_bin", "n", share("n").alias("f"), share("n_pro").alias("f_pro"), share("n_gly").alias("f_gly"))
     return d.withColumn("frequent", F.greatest("f", "f_pro", "f_gly") > 1.0 / n**2)
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import parent
 
-ALL = W.partitionBy()  # for one row a parameter, method or class only
+def everything():
+    """A window over all rows, for one row a parameter, method or class only."""
+    return W.partitionBy()
 
 
 def class_sizes(classes: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def linear_fit(rows: DataFrame, y: str, x: str) -> DataFrame:
 
 def perplexity(codes: DataFrame) -> DataFrame:
     n = codes.groupBy("code").agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(ALL)
+    p = F.col("n") / F.sum("n").over(everything())
     return n.select((p * F.ln(p + 1e-10)).alias("x")).agg(F.exp(-F.sum("x")).alias("perplexity"))
 
 

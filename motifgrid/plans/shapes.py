@@ -84,7 +84,7 @@ _DI = PT + """, D1 AS (SELECT *, qx-px AS ax, qy-py AS ay, qz-pz AS az, sx-qx AS
  D2 AS (SELECT *, ay*bz-az*by_ AS mx, az*bx-ax*bz AS my, ax*by_-ay*bx AS mz, by_*cz-bz*cy AS nx, bz*cx-bx*cz AS ny, bx*cy-by_*cx AS nz FROM D1)"""
 
 
-@query(f"WITH {_DI} SELECT l_orderkey, l_linenumber, round(atan2(((my*nz-mz*ny)*bx + (mz*nx-mx*nz)*by_ + (mx*ny-my*nx)*bz) / sqrt(bx*bx+by_*by_+bz*bz), mx*nx+my*ny+mz*nz), 5) + 0.0 AS angle FROM D2")
+@query(f"WITH {_DI} SELECT l_orderkey, l_linenumber, CASE WHEN mx*mx+my*my+mz*mz > 0 AND nx*nx+ny*ny+nz*nz > 0 THEN round(atan2(((my*nz-mz*ny)*bx + (mz*nx-mx*nz)*by_ + (mx*ny-my*nx)*bz) / sqrt(bx*bx+by_*by_+bz*bz), mx*nx+my*ny+mz*nz), 5) + 0.0 END AS angle FROM D2")
 def dihedral_angle(spark, d):
     return points(spark, d).select("l_orderkey", "l_linenumber", (F.round(ge.dihedral(F.col("p"), F.col("q"), F.col("s"), F.col("u")), 5) + 0.0).alias("angle"))
 
