@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.sequences import parsed_alignment, path_label, residue_letter, reverse_complement, masked
+from ..functions.sequences import masked, parsed_alignment, path_label, residue_letter, reverse_complement
 
 #: Fields of an ATOM line (name, first place, length, type).
 ATOM_FIELDS = (("atom", 13, 4, "string"), ("altloc", 17, 1, "string"), ("resname", 18, 3, "string"), ("chain", 22, 1, "string"), ("res_seq", 23, 4, "int"), ("icode", 27, 1, "string"), ("x", 31, 8, "double"), ("y", 39, 8, "double"), ("z", 47, 8, "double"))
@@ -167,7 +167,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     """contig (number), header, sequence of a FASTA file; white space and digits in sequences go."""
     d = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("contig", "body")).filter("contig > 0")
     head = F.regexp_extract("body", r"^([^\n]*)", 1)
-    return d.select((F.col("contig") - 1).alias("contig"), F.trim(head).alias("header"), F.regexp_replace(F.regexp_replace("body", r"^[^\n]*\n?", ""), r"[\s\d]", "").alias("sequence"))
+    return d.select((F.col("contig") - 1).alias("contig"), F.trim(head).alias("header"), F.regexp_replace(F.substr("body", F.length(head) + 2), r"[\s\d]", "").alias("sequence"))
 
 
 def fasta_range(records: DataFrame, first: int | None = None, last: int | None = None, reverse: bool = False, masks: DataFrame | None = None, ambiguous: str = "keep") -> DataFrame:
