@@ -20,7 +20,7 @@ PAIR_SCHEMA = "c0 string, prot1 string, prot2 string, tm double, aln string"
 
 def atoms(spark: SparkSession, path: str) -> DataFrame:
     """prot_id, model, line and the fields of all ATOM lines of structure files; model counts from 0."""
-    lines = spark.read.option("wholetext", "true").text(path).select(path_label(F.col("_metadata.file_path")).alias("prot_id"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(path_label(F.col("_metadata.file_path")).alias("prot_id"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     lines = lines.withColumn("model", F.sum(F.col("value").startswith("ENDMDL").cast("int")).over(W.partitionBy("prot_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
     fields = [F.trim(F.substring("value", a, n)).cast(t).alias(k) for k, a, n, t in ATOM_FIELDS]
     return lines.filter(F.substring("value", 1, 6) == "ATOM  ").select("prot_id", "model", "line", *fields)
@@ -121,7 +121,7 @@ def evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no, value of a small report file."""
-    return spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "value")).filter("value <> ''")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "value")).filter("value <> ''")
 
 
 def settings(spark: SparkSession, path: str, kinds: dict[str, type] | None = None) -> dict:
@@ -164,10 +164,13 @@ def tensor_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """contig (number), header, sequence of a FASTA file; white space and digits in sequences go."""
-    d = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("contig", "body")).filter("contig > 0")
-    head = F.regexp_extract("body", r"^([^\n]*)", 1)
-    return d.select((F.col("contig") - 1).alias("contig"), F.trim(head).alias("header"), F.regexp_replace(F.substr("body", F.length(head) + 2), r"[\s\d]", "").alias("sequence"))
+    """contig (ascending, from 0 in a file read as one part), header, sequence; white space and digits in sequences go.
+
+    Records are read apart, so a large file is split among tasks.
+    """
+    d = spark.read.text(path, lineSep="\n>").select(F.monotonically_increasing_id().alias("contig"), F.regexp_replace("value", r"\A>", "").alias("body"))
+    head = F.regexp_extract("body", r"\A([^\n]*)", 1)
+    return d.select("contig", F.trim(head).alias("header"), F.regexp_replace(F.substr("body", F.length(head) + 2), r"[\s\d]", "").alias("sequence"))
 
 
 def fasta_range(records: DataFrame, first: int | None = None, last: int | None = None, reverse: bool = False, masks: DataFrame | None = None, ambiguous: str = "keep") -> DataFrame:

@@ -80,7 +80,7 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "f.fa").write_text(">one x\nACGT 10\nNNAC\n>two\nTT\n")
     d = files.fasta(spark, str(tmp_path / "f.fa"))
     assert [(r.header, r.sequence) for r in d.orderBy("contig").collect()] == [("one x", "ACGTNNAC"), ("two", "TT")]
-    masks = spark.createDataFrame([(0, 2, 3)], "contig int, a int, b int")
+    masks = spark.createDataFrame([(0, 2, 3)], "contig long, a int, b int")
     r = files.fasta_range(d, 2, 5, True, masks).orderBy("contig").collect()
     assert r[0].sequence == "NAXX" and r[1].sequence == "A"
 
