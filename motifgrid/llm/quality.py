@@ -57,7 +57,7 @@ def _fails(x):
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base counts, base_failed, kept and clean_text; names are prefixed to keep docs' own."""
+    """docs with the base counts, base_failed, kept and clean_text; names begin with two underscores."""
     d = docs.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     d = d.withColumn("__w", F.filter(F.split("__t", SPACE), lambda w: w != ""))
     d = d.withColumn("__l", F.transform(F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD)), _line))
@@ -100,6 +100,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents that pass, without their failing lines; all columns of docs."""
     names = docs.columns
+    rows = docs.select(F.struct(*[docs[k] for k in names]).alias("__all"), docs[text].alias("text"))  # docs may use any names
     # a column that isn't deterministic keeps the filter above the projections, which would be copied into it
-    rows = measures(docs, text).withColumn("__row", F.monotonically_increasing_id())
-    return rows.filter("__kept and __row >= 0").select(*[F.col("__clean").alias(k) if k == text else F.col(f"`{k}`") for k in names])
+    rows = measures(rows).withColumn("__row", F.monotonically_increasing_id()).filter("__kept and __row >= 0")
+    return rows.select(*[F.col("__clean").alias(k) if k == text else F.col("__all")[k].alias(k) for k in names])
