@@ -117,6 +117,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(d) and luhn(d)), len(seps), float("." in seps), float("-" in seps), float(" " in seps), float("(" in seps or "[" in seps), float(d[:2] == "00"),
         float(d[:1] == "0"), float(bool(near & set(HINTS[kind]))), float(bool(near & set(_AGAINST))), float(before[-1:].isalnum()), float(after[:1].isalnum()),
         sum(c.isdigit() for c in before + after), float(" dot " in s.lower()), float("." in s.rpartition("at")[2]), s.count(":"), float(before[-1:] in "#$€£=%"), float(after[:1] in "%$€£:="),
+        float(" at " in s.lower()), float("@" in s),
     ]
 
 
@@ -127,9 +128,9 @@ def _example(r: random.Random) -> tuple[str, str, int, int, float]:
     yes, kind = r.random() < 0.5, r.choice(KINDS)
     if kind == "email":
         at, dot = r.choice(((" @ ", "."), ("@ ", "."), (" (at) ", "."), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", " (dot) "), (" [at] ", ".")))
-        s = f"{word()}{r.choice(('.', '_', dot))}{word()}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}" if yes else f"{word()} at {word()}.{word()}"
+        s = f"{word()}{r.choice(('.', '_', dot))}{r.choice((word(), num(2), word() + num(3)))}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}" if yes else f"{r.choice((word(), num(3), f'{num(4)}-{num(2)}-{num(2)}', f'{word()}.{word()}'))} at {word()}.{word()}"
     elif kind == "ip":
-        s = ":".join(f"{r.randrange(65536):x}" for _ in range(8)) if yes else f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}:{r.randint(10, 99)}"
+        s = ":".join(f"{r.randrange(r.choice((10, 4096, 65536))):x}" for _ in range(8)) if yes else f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}:{r.randint(10, 99)}"
     elif kind == "card":
         d = num(r.choice((13, 14, 15, 15, 16))) if not yes else num(14)
         d = next(d + c for c in "0123456789" if luhn(d + c)) if yes else d
