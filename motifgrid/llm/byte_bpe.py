@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +146,7 @@ def codec(path: str, pattern: str, cuts: bool = False) -> tuple[ByteBpe, UnitEnc
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = ByteBpe(ranks, pattern)
-        _OPEN[path, pattern] = bpe, UnitEncoder(lambda units: [np.array(bpe.encode(x), "<u4").tobytes() for x in units], cuts)
+        _OPEN[path, pattern] = bpe, UnitEncoder(lambda units: [array("I", bpe.encode(x)).tobytes() for x in units], cuts)
     return _OPEN[path, pattern]
 
 
@@ -155,7 +156,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
 
     def run(batches):
         bpe, encoder = codec(path, pattern, cuts)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             ids = encoder.encode(texts(batch.column("text")))
             yield batch_of(schema, doc_id=batch.column("doc_id"), ids=ids, decoded=[bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids])
 
@@ -169,7 +170,7 @@ def digests(docs: DataFrame, path: str, pattern: str, cuts: bool = False) -> Dat
     def run(batches):
         bpe, encoder = codec(path, pattern, cuts)
         decimal = {v: str(v) for v in bpe.bytes_of}
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             n, a, b = [], [], []
             for x in encoder.encode(texts(batch.column("text"))):
                 ids = np.frombuffer(x, "<u4").tolist()

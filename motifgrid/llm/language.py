@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, pieces, texts
+from .common import batch_of, fresh, pieces, texts
 
 BUCKETS, ORDERS, EVIDENCE = 1 << 14, (1, 2, 3), 100
 UNKNOWN = "und"
@@ -68,7 +68,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 18):
             buckets, begins = ngrams(texts(batch.column("text")))
             langs = np.array(batch.column("lang").to_pylist())
             whose = np.repeat(np.arange(len(langs)), np.diff(begins))
@@ -108,17 +108,17 @@ def predict(batch: list[str], langs: list[str], model: np.ndarray) -> tuple[list
     return names, scores
 
 
-def identified(docs: DataFrame, learned: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score."""
-    spark = docs.sparkSession
+def identified(docs: DataFrame, learned: tuple[list[str], np.ndarray], keep: list[str], lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns `keep` of docs with the predicted language and its score, under the given names."""
+    spark, name = docs.sparkSession, fresh(keep, "__text")
     held = spark.sparkContext.broadcast(learned)  # BUCKETS rows, a column a language
-    rows = docs.select(*[docs[k] for k in keep], docs["text"].alias("__text"))
-    spec = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:-1]) + ", lang_pred string, score double"
+    rows = docs.select(*[docs[k] for k in keep], docs["text"].alias(name))
+    spec = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:-1]) + f", `{lang}` string, `{score}` double"
 
     def run(batches):
-        for batch in pieces(batches, "__text", 1 << 20):
-            names, scores = predict(texts(batch.column("__text")), *held.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        for batch in pieces(batches, name, 1 << 18):
+            names, scores = predict(texts(batch.column(name)), *held.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], lang, score])
 
     return rows.mapInArrow(run, spec)
 

@@ -68,7 +68,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             sets = shingle_sets(*buffers(batch.column("text")), WORDS)
             keys = [set_key(x) for x in sets]
             rows = [i for i, x in enumerate(sets) if len(x)]
@@ -103,7 +103,7 @@ def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held", pa.binary())])
 
     def sets(batches):
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             yield batch_of(schema, doc_id=batch.column("doc_id"), held=[x.tobytes() for x in shingle_sets(*buffers(batch.column("text")), WORDS)])
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

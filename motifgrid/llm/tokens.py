@@ -9,23 +9,35 @@ units are kept in a table of bounded size; all other units are encoded each time
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 #: Entries of the table of units of one Python worker (about 120 bytes each).
-UNITS_KEPT = 400_000
+UNITS_KEPT = 300_000
+#: Marks and letters that every version of Unicode classes alike.
+_MARKS = tuple(".,!?:;")
+_LETTERS = re.compile(r"\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
+class _Kept(dict):
+    """Ids of units; what isn't kept is looked up among those of the present batch."""
+
+    batch: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        return self.batch[key]
+
+
 class UnitEncoder:
     """encode(texts) gives the ids of each text as little-endian unsigned 32-bit integers."""
 
     def __init__(self, backend: Callable[[list[str]], list[bytes]], cuts: bool = True, kept: int = UNITS_KEPT):
         self.backend, self.cuts, self.kept = backend, cuts, kept
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.spaced, self.plain = _Kept(), _Kept()
+        self.marks: dict[str, bytes] = {}
 
     def _units(self, text: str) -> tuple[list[str], list[str]]:
         """Units without a space before them, then units whose leading space is left out."""
@@ -35,28 +47,35 @@ class UnitEncoder:
             return [first], rest
         return _CUT.split(text) if text else [], []
 
-    def _learn(self, keys: set[str], known: dict[str, bytes], whole: Callable[[str], str]) -> dict[str, bytes]:
-        new = [k for k in keys if k not in known]
-        found = dict(zip(new, self.backend([whole(k) for k in new]), strict=True)) if new else {}
+    def _learn(self, units: list[list[str]], known: _Kept, whole: Callable[[str], str]) -> None:
+        """Encodes the units that aren't kept: a mark after letters apart, as the pattern does."""
+        new = [k for k in set().union(*units) if k not in known]
+        heads, marked = set(), []
+        for k in new:
+            if k[-1:] in _MARKS and _LETTERS(k, 0, len(k) - 1):
+                marked.append(k)
+                heads.add(k[:-1])
+            else:
+                heads.add(k)
+        heads = [k for k in heads if k not in known]
+        known.batch = found = dict(zip(heads, self.backend([whole(k) for k in heads]), strict=True)) if heads else {}
+        for k in marked:
+            if (mark := self.marks.get(k[-1])) is None:
+                mark = self.marks[k[-1]] = self.backend([k[-1]])[0]
+            found[k] = known[k[:-1]] + mark
         room = self.kept - len(self.spaced) - len(self.plain)
         if room > 0:
             known.update(found if len(found) <= room else list(found.items())[:room])
-        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.backend(texts)
         parts = [self._units(x) for x in texts]
-        a = self._learn({k for x, _ in parts for k in x}, self.plain, lambda k: k)
-        b = self._learn({k for _, x in parts for k in x}, self.spaced, lambda k: k if k[:1] == "\n" else f" {k}")
-        plain, spaced = self.plain, self.spaced
-        out = []
-        for head, tail in parts:
-            try:
-                ids = b"".join([plain.get(k) or a[k] for k in head]) + b"".join(map(spaced.__getitem__, tail))
-            except KeyError:
-                ids = b"".join([plain.get(k) or a[k] for k in head] + [spaced.get(k) or b[k] for k in tail])
-            out.append(ids)
+        self._learn([x for x, _ in parts], self.plain, lambda k: k)
+        self._learn([x for _, x in parts], self.spaced, lambda k: k if k[:1] == "\n" else f" {k}")
+        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        out = [b"".join(map(plain, head)) + b"".join(map(spaced, tail)) for head, tail in parts]
+        self.plain.batch = self.spaced.batch = {}
         return out
 
 
@@ -66,6 +85,7 @@ _OPEN: dict[tuple, UnitEncoder] = {}
 def library_encoder(path: str) -> UnitEncoder:
     """The worker's encoder for a vocabulary file of the tokenizers library."""
     if (path,) not in _OPEN:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         held = Tokenizer.from_file(path)
@@ -83,7 +103,7 @@ def library_encoder(path: str) -> UnitEncoder:
                 while to < len(units) and (to == at or held_chars + len(units[to]) < 200_000):
                     held_chars += len(units[to])
                     to += 1
-                out += [np.array(x.ids, "<u4").tobytes() for x in held.encode_batch_fast(units[at:to], add_special_tokens=False)]
+                out += [array("I", x.ids).tobytes() for x in held.encode_batch_fast(units[at:to], add_special_tokens=False)]
                 at = to
             return out
 
