@@ -145,9 +145,9 @@ def histogram(values: DataFrame, bins: int = 100) -> DataFrame:
 FLAT, RISE, TOP, LIFT = 8, 25, 75, 0.5
 
 
-def repaired_scores(aligned: DataFrame, everything: DataFrame) -> DataFrame:
+def repaired_scores(aligned: DataFrame, whole: DataFrame) -> DataFrame:
     """bin, raw (twice the ln of aligned / all pairs / overall share) and score, flat below and above, linear where it is noisy."""
-    d = everything.select("bin", F.col("n").alias("all_n")).join(aligned.select("bin", "n"), "bin", "left")
+    d = whole.select("bin", F.col("n").alias("all_n")).join(aligned.select("bin", "n"), "bin", "left")
     share = F.sum("n").over(everything()) / F.sum("all_n").over(everything())
     d = d.select("bin", (2.0 * F.ln(F.col("n") / F.col("all_n") / share)).alias("raw"))
     at = lambda b: F.max(F.when(F.col("bin") == b, F.col("raw"))).over(everything())

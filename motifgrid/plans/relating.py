@@ -146,13 +146,13 @@ def grid_cross(spark, d):
     return x.groupBy("open", F.expr("if(extend = 0, 0.0D, extend)").alias("extend"), F.col("c_mktsegment").alias("pair")).agg(F.round(F.avg(F.col("c_acctbal") + F.col("open") * 10 + F.col("extend")), 4).alias("value"))
 
 
-_MC = "A AS (SELECT o_custkey AS pair, round(avg(o_totalprice), 4) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), B AS (SELECT o_custkey AS pair, round(avg(o_totalprice), 4) AS b FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)"
+_MC = "A AS (SELECT o_custkey AS pair, round(sum(o_totalprice), 2) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), B AS (SELECT o_custkey AS pair, round(sum(o_totalprice), 2) AS b FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)"
 
 
-@query(f"WITH {_MC} SELECT pair, a, b, round(a - b, 3) AS diff FROM A JOIN B USING (pair)")
+@query(f"WITH {_MC} SELECT pair, a, b, round(a - b, 2) AS diff FROM A JOIN B USING (pair)")
 def method_compare(spark, d):
-    o = read(spark, d, "orders").filter("o_orderstatus in ('F', 'O')").groupBy(F.col("o_custkey").alias("pair")).pivot("o_orderstatus", ["F", "O"]).agg(F.round(F.avg("o_totalprice"), 4))
-    return o.filter("F is not null and O is not null").select("pair", F.col("F").alias("a"), F.col("O").alias("b"), F.round(F.col("F") - F.col("O"), 3).alias("diff"))
+    o = read(spark, d, "orders").filter("o_orderstatus in ('F', 'O')").groupBy(F.col("o_custkey").alias("pair")).pivot("o_orderstatus", ["F", "O"]).agg(F.round(F.sum("o_totalprice"), 2))
+    return o.filter("F is not null and O is not null").select("pair", F.col("F").alias("a"), F.col("O").alias("b"), F.round(F.col("F") - F.col("O"), 2).alias("diff"))
 
 
 @query("WITH G AS (SELECT l_orderkey AS pair, round(sum(l_extendedprice), 2) AS computed FROM lineitem GROUP BY 1) SELECT o_orderkey AS pair, o_totalprice AS given, computed FROM orders JOIN G ON pair = o_orderkey")
