@@ -14,8 +14,10 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+
 #: Entries of the table of units of one Python worker (about 120 bytes each).
-UNITS_KEPT = 300_000
+UNITS_KEPT = 900_000
 #: Marks and letters that every version of Unicode classes alike.
 _MARKS = tuple(".,!?:;")
 _LETTERS = re.compile(r"\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
@@ -96,15 +98,17 @@ def library_encoder(path: str) -> UnitEncoder:
         cuts = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
 
         def backend(units: list[str]) -> list[bytes]:
-            out = []
-            at = 0
-            while at < len(units):  # encodings are large; few are held at a time
-                to, held_chars = at, 0
-                while to < len(units) and (to == at or held_chars + len(units[to]) < 200_000):
-                    held_chars += len(units[to])
-                    to += 1
-                out += [array("I", x.ids).tobytes() for x in held.encode_batch_fast(units[at:to], add_special_tokens=False)]
-                at = to
+            if not cuts:
+                return [array("I", x.ids).tobytes() for x in held.encode_batch_fast(units, add_special_tokens=False)]
+            out: list[bytes] = []
+            for at in range(0, len(units), 4096):  # one encoding holds many units, each split by itself
+                some = units[at : at + 4096]
+                made = held.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids, ends = array("I", made.ids).tobytes(), np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(some)), side="right") * 4
+                start = 0
+                for end in ends.tolist():
+                    out.append(ids[start:end])
+                    start = end
             return out
 
         _OPEN[(path,)] = UnitEncoder(backend, cuts)
