@@ -212,7 +212,6 @@ def test_warc(spark):
         with open(files[0], "rb") as f:
             data = f.read()
         assert gzip.decompress(data).startswith(b"WARC/1.1") and (data.count(b"\x1f\x8b\x08") > 2) == (members or data.count(b"\x1f\x8b\x08") > 2)
-    source, target, index = (new_path(spark, x) for x in ("s", "t", "i"))
 
 
 def test_warc_streams():

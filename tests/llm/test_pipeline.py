@@ -1,7 +1,7 @@
 """Each stage keeps the columns and does what its decisions say."""
 
 import corpus_pipeline as c
-from motifgrid.llm import minhash, quality
+from motifgrid.llm import language, minhash, quality
 from motifgrid.llm.common import written
 
 DATA = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def test_stages(spark):
             break
         assert out.dtypes == docs.dtypes
         if name == "language_id":
-            assert docs.count() - out.count() == docs.filter("text is null or not text rlike '\\\\p{L}'").count()
+            assert out.count() == language.language_of(docs).filter(f"lang_pred <> 'und' and score >= {c.LEAST_SCORE}").count()
         if name == "quality_rules":
             assert out.count() == quality.measured(docs).filter("kept").count()
         if name == "minhash_dedup":
