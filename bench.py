@@ -16,7 +16,7 @@ HEADLINE = (
     "suttffp", "pr_curve", "pair_counts", "blosum_matrix", "transition_matrix", "nhot_counts", "aligned_edges", "jaccard_pairs", "knn_graph",
     "nearest_centroid", "spearman", "grid_best", "concordance", "dihedral_angle", "spherical_bins", "cigar_expand", "sim_matrix", "sw_align",
 )
-RUNS = 2
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def main() -> None:
