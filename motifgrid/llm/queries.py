@@ -1,4 +1,4 @@
-"""One query for each training-data operator, over its whole table, and SQL where it can express it."""
+"""One query for each training-data operator, over its whole table; `oracle` holds the SQL of those it can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bit_sliced, byte_bpe, language, minhash, packing, pii, quality, sharding, token_files, warc
 from .common import new_path, table
+from .oracle import ORACLE as ORACLE
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +63,3 @@ QUERIES = {
         op6_warc_normaliser, op7_minhash_dedup, op8_language_id, op9_stratified_sharding, op10_byte_bpe,
     )
 }
-
-ORACLE: dict[str, str] = {}
