@@ -6,10 +6,11 @@ value is its least hash, and an empty bin takes the value of the first full bin
 share its bucket. Texts with equal sets are first merged into one class, so that copies cost nothing.
 
 Candidates are stars: a bucket pairs its centre with each other member, so a bucket of n texts gives
-n - 1 pairs. Two rounds are made. The first takes few bands, with the smallest doc_id as centre; its
-pairs are checked on the full shingle sets and merged into components. The second takes all bands, with
-another choice of centre, and only pairs that are still in different components. Components come from
-repeated contraction of the checked links in written tables; nothing is collected to the driver.
+n - 1 pairs. The first round takes few bands, with the smallest doc_id as centre; its pairs are checked
+on the full shingle sets and merged into components. Further rounds take all bands, and pair a member
+of the bucket's rarest component with all members of other components, until a round finds no link;
+each of them leaves fewer components than before. Components come from repeated contraction of the
+checked links in written tables; nothing is collected to the driver.
 
 Defined results: words are maximal runs outside ASCII white space, with A-Z lower-cased; a text of
 fewer than five words has one shingle; null texts and texts without words have none, link with
@@ -18,8 +19,8 @@ only then; it isn't linked to other texts. Rows that repeat a doc_id are answere
 doc_id count as one document. Other columns are left out; an empty table gives no rows.
 
 At a similarity of s a pair shares no bucket with probability (1 - s^6)^40: 0.0004 at 0.75, 7e-6 at
-0.8. A pair that shares buckets is compared if one of the two is a centre in any of them or the others
-of the bucket join them.
+0.8. A pair that shares buckets is missed only if, in every one of them, a third component supplies
+the centre in each round up to the one without a link.
 """
 
 from __future__ import annotations
@@ -81,20 +82,27 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
-def stars(heads: DataFrame, bands: int, labels: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket's centre and another member, in different components."""
+def stars(heads: DataFrame, bands: int) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's smallest doc_id and another member."""
     rows = heads.select("doc_id", F.explode(F.slice("bands", 1, bands)).alias("key"))
-    if labels is None:
-        centre = F.min("doc_id")
-    else:  # doc_ids in another order
-        centre = F.expr("min_by(doc_id, xxhash64(doc_id))")
-    centres = written(rows.groupBy("key").agg(centre.alias("a"), F.count("*").alias("m")).filter("m > 1").select("key", "a"), "minhash-centres")
-    pairs = rows.join(centres, "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    if labels is None:
-        return pairs
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
-    return pairs.filter("coalesce(a_label, a) <> coalesce(b_label, b)").select("a", "b")
+    centres = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("m"))
+    centres = written(centres.filter("m > 1").select("key", "a"), "minhash-centres")
+    return rows.join(centres, "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def open_stars(heads: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's centre and each member of another component.
+
+    The centre belongs to the component with the fewest members in the bucket, so that a text that
+    stands apart meets all others; ties, and members of a component, are ordered by a hash of turn.
+    """
+    labelled = heads.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
+    rows = labelled.select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.explode("bands").alias("key"))
+    order = F.xxhash64(F.lit(turn), F.col("key"), F.col("doc_id"))
+    groups = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"))).alias("first"))
+    centres = groups.groupBy("key").agg(F.count("*").alias("groups"), F.min(F.struct("m", F.col("first.o").alias("o"), F.col("first.a").alias("a"), F.col("label").alias("of"))).alias("c"))
+    centres = written(centres.filter("groups > 1").select("key", "c.a", "c.of"), "minhash-centres")
+    return rows.join(centres, "key").filter("label <> of").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,10 +163,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     classes = written(classes, "minhash-classes")
     heads = written(rows.filter("n > 0").join(classes, ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "bands"), "minhash-heads")
-    links = checked(docs, stars(heads, FIRST_BANDS, None))
-    labels = components(links)
-    more = checked(docs, stars(heads, BANDS, labels))
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").unionByName(more))
+    labels, turn = components(checked(docs, stars(heads, FIRST_BANDS))), 0
+    while not (more := checked(docs, open_stars(heads, labels, turn))).isEmpty():
+        labels, turn = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").unionByName(more)), turn + 1
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("label", "doc_id").alias("component"))
     named = written(named, "minhash-named")
     out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
