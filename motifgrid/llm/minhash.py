@@ -82,22 +82,28 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
-def stars(heads: DataFrame, bands: int) -> DataFrame:
+def shared_buckets(heads: DataFrame) -> DataFrame:
+    """doc_id, band and key of the buckets that hold two texts or more, written once for all rounds."""
+    rows = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "minhash-keys")
+    return written(rows.join(keys, "key", "left_semi").select("doc_id", "band", "key"), "minhash-buckets")
+
+
+def stars(shared: DataFrame, bands: int) -> DataFrame:
     """Distinct pairs (a, b) of a bucket's smallest doc_id and another member."""
-    rows = heads.select("doc_id", F.explode(F.slice("bands", 1, bands)).alias("key"))
-    centres = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("m"))
-    centres = written(centres.filter("m > 1").select("key", "a"), "minhash-centres")
+    rows = shared.filter(F.col("band") < bands).select("doc_id", "key")
+    centres = written(rows.groupBy("key").agg(F.min("doc_id").alias("a")), "minhash-centres")
     return rows.join(centres, "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def open_stars(heads: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def open_stars(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """Distinct pairs (a, b) of a bucket's centre and each member of another component.
 
     The centre belongs to the component with the fewest members in the bucket, so that a text that
     stands apart meets all others; ties, and members of a component, are ordered by a hash of turn.
     """
-    labelled = heads.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
-    rows = labelled.select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.explode("bands").alias("key"))
+    labelled = shared.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
+    rows = labelled.select("doc_id", F.coalesce("label", "doc_id").alias("label"), "key")
     order = F.xxhash64(F.lit(turn), F.col("key"), F.col("doc_id"))
     groups = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"))).alias("first"))
     centres = groups.groupBy("key").agg(F.count("*").alias("groups"), F.min(F.struct("m", F.col("first.o").alias("o"), F.col("first.a").alias("a"), F.col("label").alias("of"))).alias("c"))
@@ -163,8 +169,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     classes = written(classes, "minhash-classes")
     heads = written(rows.filter("n > 0").join(classes, ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "bands"), "minhash-heads")
-    labels, turn = components(checked(docs, stars(heads, FIRST_BANDS))), 0
-    while not (more := checked(docs, open_stars(heads, labels, turn))).isEmpty():
+    shared = shared_buckets(heads)
+    labels, turn = components(checked(docs, stars(shared, FIRST_BANDS))), 0
+    while not (more := checked(docs, open_stars(shared, labels, turn))).isEmpty():
         labels, turn = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").unionByName(more)), turn + 1
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("label", "doc_id").alias("component"))
     named = written(named, "minhash-named")
