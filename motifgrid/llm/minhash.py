@@ -8,10 +8,16 @@ share its bucket. Texts with equal sets are first merged into one class, so that
 Candidates are stars: a bucket pairs its centre with each other member, so a bucket of n texts gives
 n - 1 pairs. The first round takes few bands, with the smallest doc_id as centre; its pairs are checked
 on the full shingle sets and merged into components. Further rounds take all bands, and pair a member
-of the bucket's rarest component with all members of other components, until a round finds no link;
-each of them leaves fewer components than before. Components come from repeated contraction of the
+of the bucket's rarest component with all members of other components; each of them leaves fewer
+components than before. Components come from repeated contraction of the
 checked links in written tables; nothing is collected to the driver.
 
+Star rounds stop when they find nothing or few pairs are left; then the open buckets are settled: all
+pairs of members in different components are compared, whatever their number. Two bounds that lose no
+pair come first: the sizes of the sets, and their parities. A parity has a bit for each slot of the hash range
+modulo its length, set if an odd number of shingles fall there, so two texts differ in as many
+shingles at least as their parities differ in bits.
+
 Defined results: words are maximal runs outside ASCII white space, with A-Z lower-cased; a text of
 fewer than five words has one shingle; null texts and texts without words have none, link with
 nothing and are kept. A null doc_id takes the component of its equal texts, else null, and is kept
@@ -19,8 +25,7 @@ only then; it isn't linked to other texts. Rows that repeat a doc_id are answere
 doc_id count as one document. Other columns are left out; an empty table gives no rows.
 
 At a similarity of s a pair shares no bucket with probability (1 - s^6)^40: 0.0004 at 0.75, 7e-6 at
-0.8. A pair that shares buckets is missed only if, in every one of them, a third component supplies
-the centre in each round up to the one without a link.
+0.8. No pair that shares a bucket is missed.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from .shingles import U, constants, mix, set_key, shingle_sets
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, FIRST_BANDS = 40, 6, 10
+#: Open buckets are settled at once when they hold at most FEW pairs a text; BLOCK members are dealt to a task.
+FEW, BLOCK = 8, 1024
 _BINS = BANDS * ROWS
 #: Row i is the order in which bin i, if empty, looks for a full one.
 _ORDER = np.argsort(constants(_BINS * _BINS, 5).reshape(_BINS, _BINS), axis=1)
@@ -64,9 +71,22 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mix((rows * _ROW).sum(axis=2, dtype=np.uint64) + _BAND)
 
 
+def parity(held: np.ndarray) -> bytes:
+    """The parities of a set of hashes, in the least power of two of bits that is twice its size or more (512 at least)."""
+    bits = 1 << max(9, (2 * len(held) - 1).bit_length())
+    return np.packbits(np.bincount((held & U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").astype(np.uint8).tobytes()
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the number of shingles in one set only, by two parities (64-bit words); the longer one is folded."""
+    few, many = sorted((x, y), key=len)
+    folded = np.bitwise_xor.reduce(many.reshape(-1, len(few)), axis=0)
+    return int(np.bitwise_count(few ^ folded).sum())
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), k1 and k2 (128-bit key of the set) and its bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, n (size of the set), k1 and k2 (128-bit key of the set), its bands and its parity."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("parity", pa.binary())])
 
     def run(batches):
         for batch in pieces(batches, "text", 1 << 19):
@@ -77,16 +97,16 @@ def sketches(docs: DataFrame) -> DataFrame:
             if rows:
                 bands[rows] = band_keys(np.stack([signature(sets[i]) for i in rows])).view(np.int64)
             at = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
-            yield batch_of(schema, doc_id=batch.column("doc_id"), n=[len(x) for x in sets], k1=[a for a, _ in keys], k2=[b for _, b in keys], bands=pa.ListArray.from_arrays(at, pa.array(bands.ravel())))
+            yield batch_of(schema, doc_id=batch.column("doc_id"), n=[len(x) for x in sets], k1=[a for a, _ in keys], k2=[b for _, b in keys], bands=pa.ListArray.from_arrays(at, pa.array(bands.ravel())), parity=[parity(x) for x in sets])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, parity binary")
 
 
 def shared_buckets(heads: DataFrame) -> DataFrame:
-    """doc_id, band and key of the buckets that hold two texts or more, written once for all rounds."""
-    rows = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    """doc_id, n, band and key of the buckets that hold two texts or more, written once for all rounds."""
+    rows = heads.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
     keys = written(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "minhash-keys")
-    return written(rows.join(keys, "key", "left_semi").select("doc_id", "band", "key"), "minhash-buckets")
+    return written(rows.join(keys, "key", "left_semi").select("doc_id", "n", "band", "key"), "minhash-buckets")
 
 
 def stars(shared: DataFrame, bands: int) -> DataFrame:
@@ -96,19 +116,54 @@ def stars(shared: DataFrame, bands: int) -> DataFrame:
     return rows.join(centres, "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def open_stars(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket's centre and each member of another component.
+def open_rows(rows: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """The rows (doc_id, n, key) of buckets that span several components, and the number of their pairs across components.
 
-    The centre belongs to the component with the fewest members in the bucket, so that a text that
-    stands apart meets all others; ties, and members of a component, are ordered by a hash of turn.
+    Each row has its label, the bucket's centre (a, of component `of`), its largest component and its members. The centre
+    belongs to the component with the fewest members in the bucket, so that a text that stands apart
+    meets all others; ties, and members of a component, are ordered by a hash of turn.
     """
-    labelled = shared.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
-    rows = labelled.select("doc_id", F.coalesce("label", "doc_id").alias("label"), "key")
+    labelled = rows.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
+    labelled = labelled.select("doc_id", "n", F.coalesce("label", "doc_id").alias("label"), "key")
     order = F.xxhash64(F.lit(turn), F.col("key"), F.col("doc_id"))
-    groups = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"))).alias("first"))
-    centres = groups.groupBy("key").agg(F.count("*").alias("groups"), F.min(F.struct("m", F.col("first.o").alias("o"), F.col("first.a").alias("a"), F.col("label").alias("of"))).alias("c"))
-    centres = written(centres.filter("groups > 1").select("key", "c.a", "c.of"), "minhash-centres")
-    return rows.join(centres, "key").filter("label <> of").select("a", F.col("doc_id").alias("b")).distinct()
+    groups = labelled.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"))).alias("first"))
+    centre = F.min(F.struct("m", F.col("first.o").alias("o"), F.col("first.a").alias("a"), F.col("label").alias("of")))
+    squares = F.sum(F.col("m").cast("double") * F.col("m"))
+    spans = groups.groupBy("key").agg(F.count("*").alias("groups"), centre.alias("c"), F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("members"), squares.alias("squares"))
+    spans = spans.filter("groups > 1").select("key", "c.a", "c.of", F.col("most.label").alias("largest"), "members", ((F.col("members").cast("double") * F.col("members") - F.col("squares")) / 2).alias("pairs"))
+    spans = written(spans, "minhash-open")
+    return written(labelled.join(spans.drop("pairs"), "key"), "minhash-rows"), int(spans.agg(F.sum("pairs")).first()[0] or 0)
+
+
+def open_stars(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's centre and each member of another component."""
+    return rows.filter("label <> of").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def open_pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of all members of a bucket in different components, without those that sizes or parities exclude.
+
+    Members outside the bucket's largest component, in blocks, meet all members of other components.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    a = rows.filter("label <> largest").select("key", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    b = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "largest")
+    pairs = a.join(b, ["key", "block"]).filter(f"la <> lb and (lb = largest or a < b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-across")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def possible(batches):
+        for batch in batches:
+            found = []
+            for n, m, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("pa"), batch.column("pb"), strict=True):
+                apart = least_difference(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                both = (n + m - apart) // 2  # at most
+                found.append(100 * both >= PERCENT * (n + m - both))
+            keep = pa.array(found, pa.bool_())
+            yield batch_of(out, a=batch.column("a").filter(keep), b=batch.column("b").filter(keep))
+
+    held = [heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in ("a", "b")]
+    return pairs.join(held[1], "b").join(held[0], "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(possible, "a long, b long").distinct()
 
 
 def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -163,16 +218,27 @@ def components(links: DataFrame) -> DataFrame:
     return written(labels, "minhash-labels")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels with further links (a, b)."""
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").unionByName(links))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     rows = written(sketches(docs), "minhash-sketches")
     classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     classes = written(classes, "minhash-classes")
-    heads = written(rows.filter("n > 0").join(classes, ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "bands"), "minhash-heads")
+    heads = written(rows.filter("n > 0").join(classes, ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "n", "bands", "parity"), "minhash-heads")
     shared = shared_buckets(heads)
-    labels, turn = components(checked(docs, stars(shared, FIRST_BANDS))), 0
-    while not (more := checked(docs, open_stars(shared, labels, turn))).isEmpty():
-        labels, turn = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").unionByName(more)), turn + 1
+    few = FEW * heads.count()
+    labels, turn, rounds = components(checked(docs, stars(shared, FIRST_BANDS))), 0, True
+    while rounds:
+        shared, across = open_rows(shared.select("doc_id", "n", "key"), labels, turn)
+        rounds = across > few and not (more := checked(docs, open_stars(shared))).isEmpty()
+        if rounds:
+            labels, turn = merged(labels, more), turn + 1
+    if across and not (more := checked(docs, open_pairs(shared, heads))).isEmpty():
+        labels = merged(labels, more)
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("label", "doc_id").alias("component"))
     named = written(named, "minhash-named")
     out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")

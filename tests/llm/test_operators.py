@@ -309,3 +309,35 @@ def test_byte_bpe(docs, rows, empty):
     for _ in range(3000):
         s = bytes(r.choice(b"aeinorst thouing\xc3\xa9") for _ in range(r.randrange(1, 40)))
         assert list(bpe.encode_match(s)) == held._encode_single_piece(s) if s not in ranks else True
+
+
+def family(members, template, own, shared):
+    """Texts alike at 0.70 by a template; the last two also share the first words of their ends."""
+    head = " ".join(f"t1x{j}" for j in range(template))
+    texts = [f"{head} " + " ".join(f"w{i}x{j}" for j in range(own)) for i in range(members)]
+    pair = " ".join(f"both{j}" for j in range(shared))
+    return texts[:-2] + [f"{head} {pair} " + " ".join(f"w{i}x{j}" for j in range(own - shared)) for i in (members - 2, members - 1)]
+
+
+def test_near_duplicates_in_a_family(spark):
+    texts = family(1000, 144, 30, 9)
+    sets = [minhash_words(x) for x in texts]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert alike(sets[-1], sets[-2]) >= 0.75 > 0.71 > alike(sets[0], sets[1]) > 0.69
+    found = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: min(i, 998) for i in range(1000)}
+
+
+def minhash_words(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 0), (5, 9, 3), (300, 280, 250), (255, 260, 100), (3000, 4100, 2500)):
+        x = r.integers(0, 2**63, n + m - both, dtype=np.uint64)
+        a, b = x[:n], x[n - both :]
+        p, q = (np.frombuffer(minhash.parity(v), np.uint64) for v in (a, b))
+        assert minhash.least_difference(p, q) <= n + m - 2 * both
+        assert minhash.least_difference(p, p) == 0
