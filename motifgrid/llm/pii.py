@@ -1,8 +1,8 @@
 r"""Operator 2: personal data by candidate generators and gradient-boosted trees.
 
 Base spans (fixed patterns and checks) always count. Generators with high recall propose more,
-overlapping spans: spelled-out addresses, IPv6, national and 00-prefixed phone numbers, cards in other
-groupings. Boosted trees score a candidate by its format and its context; a span is added if its
+overlapping spans: spelled-out addresses, IPv6 (also with a double colon), national and 00-prefixed phone
+numbers, cards in other groupings; numbers next to each other are proposed in every grouping. Boosted trees score a candidate by its format and its context; a span is added if its
 calibrated probability reaches its kind's threshold and it overlaps no base span and no better
 candidate. The trees are trained on the driver, from a seeded generator of formats and contexts (TRAINING
 candidates, half of them to calibrate and set thresholds), so training reads no documents.
@@ -15,6 +15,7 @@ rows get equal results; other columns are left out in `spans`, and stay as they
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -76,7 +77,14 @@ _SPELLED_LOCAL = re.compile(r"(?i)[a-z0-9._%+-]+(?:(?:\x20dot\x20|\x20?[(\[{]dot
 #: A spelled-out name before the @ sign is at most so long.
 LOCAL_CHARS = 80
 _IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
+#: Forms with a double colon start at a run of hexadecimal digits and colons.
+_SHORT_IP6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f:]{3,39}(?![0-9A-Za-z:])")
 _RUN = re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\)[\x20. /-]?)?[0-9]+(?:[\x20. /-][0-9]+)*(?![0-9A-Za-z])")
+_GROUP = re.compile(r"\([0-9]+\)|[0-9]+")
+#: More digits than this are neither a card nor a phone.
+DIGITS = 19
+#: Candidates scored at a time.
+SCORED = 4096
 _WORD = re.compile(r"[^\W\d_]+")
 #: Context words of each kind.
 HINTS = {
@@ -88,6 +96,38 @@ HINTS = {
 _AGAINST = ("order", "version", "page", "id", "invoice", "isbn", "ref", "no", "build", "serial", "section")
 
 
+def short_ip6(s: str) -> bool:
+    """Whether s is an IPv6 address with one double colon."""
+    halves = s.split("::")
+    groups = [g for h in halves if h for g in h.split(":")]
+    return len(halves) == 2 and 1 <= len(groups) <= 7 and all(1 <= len(g) <= 4 for g in groups)
+
+
+def number_runs(text: str) -> list[tuple[int, int, int]]:
+    """Start, end and digits of the parts of digit runs that begin and end at separators, with at most DIGITS digits.
+
+    A part has DIGITS groups at most, so the scan is linear.
+    """
+    out = []
+    for m in _RUN.finditer(text):
+        groups = [(m.start() + g.start(), m.start() + g.end(), len(digits(g[0]))) for g in _GROUP.finditer(m[0])]
+        for i, (start, _, _) in enumerate(groups):
+            n = 0
+            for _, end, more in groups[i : i + DIGITS]:
+                n += more
+                if n > DIGITS:
+                    break
+                if n >= 7:
+                    out.append((start, end, n))
+    return out
+
+
+def overlaps(held: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether start:end meets one of the sorted spans, which don't overlap each other."""
+    i = bisect.bisect_left(held, (end, end))
+    return i > 0 and held[i - 1][1] > start
+
+
 def candidates(text: str, known: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Overlapping proposals outside the known spans."""
     out = []
@@ -96,14 +136,21 @@ def candidates(text: str, known: list[tuple[int, int]]) -> list[tuple[str, int,
         if name := _SPELLED_LOCAL.search(text[first : m.start()]):
             out.append(("email", first + name.start(), m.end()))
     if ":" in text:
-        out += [("ip", *m.span()) for m in _IP6.finditer(text)]
-    for m in _RUN.finditer(text):
-        n = len(digits(m[0]))
-        if 7 <= n <= 15:
-            out.append(("phone", *m.span()))
-        if 13 <= n <= 19:
-            out.append(("card", *m.span()))
-    return [x for x in out if not any(a < x[2] and x[1] < b for a, b in known)]
+        out += [("ip", *m.span()) for m in _IP6.finditer(text) if "::" not in m[0]]
+        if "::" in text:
+            out += [("ip", *m.span()) for m in _SHORT_IP6.finditer(text) if short_ip6(m[0])]
+    for start, end, n in number_runs(text):
+        if n <= 15:
+            out.append(("phone", start, end))
+        if n >= 13:
+            out.append(("card", start, end))
+    apart: list[tuple[int, int]] = []
+    for a, b in sorted(known):
+        if apart and a <= apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(b, apart[-1][1]))
+        else:
+            apart.append((a, b))
+    return [x for x in out if not overlaps(apart, *x[1:])]
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -130,7 +177,9 @@ def _example(r: random.Random) -> tuple[str, str, int, int, float]:
         at, dot = r.choice(((" @ ", "."), ("@ ", "."), (" (at) ", "."), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", " (dot) "), (" [at] ", ".")))
         s = f"{word()}{r.choice(('.', '_', dot))}{r.choice((word(), num(2), word() + num(3)))}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}" if yes else f"{r.choice((word(), num(3), f'{num(4)}-{num(2)}-{num(2)}', f'{word()}.{word()}'))} at {word()}.{word()}"
     elif kind == "ip":
-        s = ":".join(f"{r.randrange(r.choice((10, 4096, 65536))):x}" for _ in range(8)) if yes else f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}:{r.randint(10, 99)}"
+        part = lambda n: ":".join(f"{r.randrange(r.choice((10, 4096, 65536))):x}" for _ in range(n))
+        short = r.random() < 0.5
+        s = (f"{r.choice(('fe80', '2001:db8', part(r.randint(1, 3)), ''))}::{part(r.randint(1, 3))}" if short else part(8)) if yes else r.choice(("a::b", "c::d", "::a", f"{r.randint(1, 99)}::{r.randint(1, 99)}")) if short else f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}:{r.randint(10, 99)}"
     elif kind == "card":
         d = num(r.choice((13, 14, 15, 15, 16))) if not yes else num(14)
         d = next(d + c for c in "0123456789" if luhn(d + c)) if yes else d
@@ -167,7 +216,7 @@ def found_spans(text: str, model: tuple[Trees, dict[str, float]]) -> tuple[dict[
     if not proposed:
         return known, []
     trees, thresholds = model
-    p = trees.probability(np.array([features(text, *x) for x in proposed]))
+    p = np.concatenate([trees.probability(np.array([features(text, *x) for x in proposed[i : i + SCORED]])) for i in range(0, len(proposed), SCORED)])
     added: list[tuple[str, int, int]] = []
     taken = -1
     good = [(float(v), x) for v, x in zip(p, proposed, strict=True) if v >= thresholds[x[0]]]
@@ -181,8 +230,8 @@ def found_spans(text: str, model: tuple[Trees, dict[str, float]]) -> tuple[dict[
     for group in groups:
         held: list[tuple[int, int]] = []
         for _, x in sorted(group, key=lambda v: (-v[0], KINDS.index(v[1][0]), v[1][1])):
-            if not any(a < x[2] and x[1] < b for a, b in held):
-                held.append(x[1:])
+            if not overlaps(held, *x[1:]):
+                bisect.insort(held, x[1:])
                 added.append(x)
     return known, added
 

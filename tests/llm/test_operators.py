@@ -106,6 +106,17 @@ def test_pii_base_and_added():
     assert pii.found_spans("version 1.20.300 of page 12345678 on 2024-01-02 at noon.today", model)[1] == []
 
 
+def test_pii_numbers_side_by_side_and_short_addresses():
+    model = pii.trained()
+    for t, kind, want in (
+        ("tel 030 555 1234 2024-05-01", "phone", ["030 555 1234"]), ("tel 030 555 1234 030 555 1235", "phone", ["030 555 1234", "030 555 1235"]),
+        ("host 2001:db8::1 up", "ip", ["2001:db8::1"]), ("server fe80::1 up", "ip", ["fe80::1"]), ("use a::b in page 10::20", "ip", []),
+    ):
+        assert [(k, t[a:b]) for k, a, b in sorted(pii.found_spans(t, model)[1], key=lambda x: x[1])] == [(kind, x) for x in want], t
+    t = "1 " * 20_000
+    assert len(pii.candidates(t, [])) <= 2 * pii.DIGITS * 20_000
+
+
 def test_pii_frames(spark, docs, empty, rows):
     got = pii.spans(docs).collect()
     assert len(got) == len(rows) and all(r.spans == "" for r in got if r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added == 0)
