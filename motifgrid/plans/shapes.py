@@ -413,16 +413,16 @@ def louvain(spark, d):
 
 def _partners(spark, d):
     v = vectors(spark, d)
-    return v.select(F.col("id"), F.col("vec").alias("x")).join(v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("y")), "id").orderBy("id").select("x", "y")
+    return v.select(F.col("id"), F.col("vec").alias("x")).join(v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("y")), "id").select("x", "y")
 
 
 @query()
 def vq_encode(spark, d):
-    book, _ = le.trained_codebook(_partners(spark, d), hidden=32, epochs=4)
+    book, _ = le.trained_codebook(_partners(spark, d))
     return le.encoded(vectors(spark, d), book)
 
 
 @query()
 def mi_centres(spark, d):
-    c = le.learned_centres(_partners(spark, d), 8, sample=300, steps=10)
+    c = le.learned_centres(_partners(spark, d), 8)
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(c)], "centre_id long, centre array<double>")
