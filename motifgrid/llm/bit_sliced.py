@@ -13,62 +13,67 @@ queries are joined to every shard by the shard's number, and a shard answers k r
 k best of each query come from these.
 
 Defined results: a row whose vector is null, empty, or holds a null or a component that isn't finite
-takes no part, nor does one without vec_id; shorter vectors count as if padded with zeros; values are
-held to +-2^24; a query's own vec_id is no candidate; rows that repeat another vec_id are candidates
-each, in order of their score; of repeated query ids the least vector asks; ties go to the smaller vec_id; with fewer candidates
-there are fewer rows; other columns are left out.
+takes no part, nor does one without vec_id; shorter vectors count as if padded with zeros. Values are
+64-bit integers (a component beyond them counts as the nearest one). Where a shard's values and a query's could add up to more than 62 bits,
+the shard's rows are scored with integers of any length in place of slices; a score beyond 64 bits is given as the
+nearest 64-bit integer, ranked by up to 38 digits. Rows that repeat a vec_id are queries each and candidates each, of each other too; ties
+go to the smaller vec_id; with fewer candidates there are fewer rows; other columns are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch_of, written
 
-SCALE, HELD = 256, 1 << 24
+SCALE = 256
+#: Sums of more bits than this are made with integers of any length.
+SUM_BITS = 62
+#: Scores are ranked by so large a number at most.
+WIDEST = 10**38 - 1
 SHARD_ROWS, QUERY_ROWS, DROPPED = 4096, 64, 2
 
 
 def quantised(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and the integers v of the rows that take part."""
+    """row (a number of its own), vec_id and the integers v of the rows that take part, written to the shared folder."""
     v = rows[vector].cast("array<double>")
     good = rows[key].isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    held = F.transform(v, lambda x: F.greatest(F.least(F.floor(x * SCALE), F.lit(HELD)), F.lit(-HELD)).cast("int"))
-    return rows.filter(good).select(rows[key].cast("long").alias("vec_id"), held.alias("v"))
+    held = F.transform(v, lambda x: F.floor(x * SCALE).cast("long"))
+    return written(rows.filter(good).select(F.monotonically_increasing_id().alias("row"), rows[key].cast("long").alias("vec_id"), held.alias("v")), "bit-sliced-rows")
 
 
-def packed_blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Blocks of at most `most` rows: ids and values (binary), and the number of components."""
-    rows = rows.repartition(-(-rows.count() // most) or 1)
-    schema = pa.schema([("ids", pa.binary()), ("held", pa.binary()), ("dims", pa.int32())])
+def packed_blocks(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Blocks of about `most` rows, and their number: block (from 0; empty ones are missing), row numbers, ids and values (binary; 32-bit values where they fit), components."""
+    parts = -(-rows.count() // most) or 1
+    schema = pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("held", pa.binary()), ("dims", pa.int32())])
 
     def run(batches):
-        ids, values = [], []
-
-        def block(n):
-            dims = max(len(x) for x in values[:n])
-            full = np.zeros((n, dims), np.int32)
-            for i, x in enumerate(values[:n]):
-                full[i, : len(x)] = x
-            made = batch_of(schema, ids=[np.array(ids[:n], np.int64).tobytes()], held=[full.tobytes()], dims=[dims])
-            del ids[:n], values[:n]
-            return made
-
+        numbers, ids, values = [], [], []
         for batch in batches:
+            numbers += batch.column("row").to_pylist()
             ids += batch.column("vec_id").to_pylist()
             column = batch.column("v")
             at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             values += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            while len(ids) >= most:
-                yield block(most)
         if ids:
-            yield block(len(ids))
+            full = np.zeros((len(ids), max(map(len, values))), np.int64)
+            for i, x in enumerate(values):
+                full[i, : len(x)] = x
+            if full.min() >= -(1 << 31) and full.max() < 1 << 31:
+                full = full.astype(np.int32)
+            yield batch_of(schema, block=[TaskContext.get().partitionId()], rows=[np.array(numbers, np.int64).tobytes()], ids=[np.array(ids, np.int64).tobytes()], held=[full.tobytes()], dims=[full.shape[1]])
 
-    return rows.mapInArrow(run, "ids binary, held binary, dims int")
+    return rows.repartition(parts).mapInArrow(run, "block int, rows binary, ids binary, held binary, dims int"), parts
+
+
+def unpacked(held: pa.Scalar, rows: int, dims: int) -> np.ndarray:
+    data = held.as_buffer()
+    return np.frombuffer(data, np.int32 if data.size == 4 * rows * dims else np.int64).reshape(rows, dims)
 
 
 class Index:
@@ -76,6 +81,10 @@ class Index:
 
     def __init__(self, values: np.ndarray, dropped: int = DROPPED):
         self.values, self.n = values.astype(np.int64), len(values)
+        self.most = max(abs(int(self.values.min())), abs(int(self.values.max())), 1)
+        self.slices = None
+        if (2 * self.most).bit_length() > SUM_BITS:
+            return
         self.low = self.values.min(axis=0)
         top = self.values - self.low
         self.dropped = min(dropped, int(top.max()).bit_length())
@@ -86,6 +95,11 @@ class Index:
         planes = np.pad(planes.astype(np.uint8), ((0, 0), (0, 0), (0, pad)))
         self.slices = np.packbits(planes, axis=2, bitorder="little").view(np.uint64)
 
+    def fits(self, query: np.ndarray) -> bool:
+        """Whether no sum of products with the query has more than SUM_BITS bits."""
+        asked = max(abs(int(query.min())), abs(int(query.max())), 1)
+        return self.slices is not None and (2 * self.most * asked * len(query)).bit_length() <= SUM_BITS
+
     def added(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, least significant first, of the weighted sum over attributes of non-negative weights."""
         weights = max(1, int(query.max()).bit_length())
@@ -152,43 +166,47 @@ class Index:
             self.slices = held
 
 
-def answered(ids: np.ndarray, index: Index, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and scores of the k best rows of a shard."""
-    allowed = np.pad((ids != query_id).astype(np.uint8), (0, -len(ids) % 64))
-    rows = index.top(query, k, np.packbits(allowed, bitorder="little").view(np.uint64))
-    scores = index.values[rows] @ query.astype(np.int64)
-    order = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows][order], scores[order]
+def answered(numbers: np.ndarray, ids: np.ndarray, index: Index, row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+    """vec_ids and scores of the k best rows of a shard for the query of row number `row`."""
+    if index.fits(query):
+        allowed = np.pad((numbers != row).astype(np.uint8), (0, -len(ids) % 64))
+        rows = index.top(query, k, np.packbits(allowed, bitorder="little").view(np.uint64))
+        scores = index.values[rows] @ query.astype(np.int64)
+    else:
+        rows = np.flatnonzero(numbers != row)
+        scores = index.values[rows].astype(object) @ query.astype(object)
+    order = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k] if scores.dtype == object else np.lexsort((ids[rows], -scores))[:k]
+    return ids[rows][order], [int(scores[i]) for i in order]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows (vec_id, v) for each query (vec_id, v)."""
-    shards = packed_blocks(rows, shard_rows).withColumn("shard", F.monotonically_increasing_id())
+    """query_id, rank, vec_id, score: the k best rows for each query; both are rows of `quantised`."""
+    shards, parts = packed_blocks(rows, shard_rows)
     shards = written(shards, "bit-sliced-shards", "none")
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = packed_blocks(asked, query_rows).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "held", "dims")])
-    blocks = written(blocks, "bit-sliced-queries", "none")
+    blocks, _ = packed_blocks(queries, query_rows)
+    blocks = written(blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "held", "dims")]), "bit-sliced-queries", "none")
     # a stated query set against all rows, in blocks: each block goes once to each shard
-    numbers = shards.select("shard").agg(F.collect_list("shard").alias("shards"))
-    dealt = blocks.join(F.broadcast(numbers)).select("*", F.explode("shards").alias("shard")).drop("shards")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    dealt = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    schema = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("wide", pa.string())])
 
     def run(batches):
-        last, index, ids = None, None, None
+        last, index, ids, numbers = None, None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                if (shard := row["shard"].as_py()) != last:
-                    ids = np.frombuffer(row["ids"].as_buffer(), np.int64)
-                    values = np.frombuffer(row["held"].as_buffer(), np.int32).reshape(len(ids), -1)
-                    last, index = shard, Index(values)
-                asked = np.frombuffer(row["q_ids"].as_buffer(), np.int64)
-                held = np.frombuffer(row["q_held"].as_buffer(), np.int32).reshape(len(asked), -1)
+                if (shard := row["block"].as_py()) != last:
+                    ids, numbers = (np.frombuffer(row[c].as_buffer(), np.int64) for c in ("ids", "rows"))
+                    last, index = shard, Index(unpacked(row["held"], len(ids), row["dims"].as_py()))
+                asked, own = (np.frombuffer(row[c].as_buffer(), np.int64) for c in ("q_ids", "q_rows"))
+                held = unpacked(row["q_held"], len(asked), row["q_dims"].as_py())
                 dims = index.values.shape[1]
                 held = np.pad(held[:, :dims], ((0, 0), (0, max(0, dims - held.shape[1]))))
-                found = [answered(ids, index, int(a), q, k) for a, q in zip(asked, held, strict=True)]
-                yield batch_of(schema, query_id=np.repeat(asked, [len(x) for x, _ in found]), vec_id=np.concatenate([x for x, _ in found]), score=np.concatenate([s for _, s in found]))
-
-    near = dealt.join(shards, "shard").sortWithinPartitions("shard").select("shard", "ids", "held", "q_ids", "q_held").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                found = [answered(numbers, ids, index, int(a), q, k) for a, q in zip(own, held, strict=True)]
+                n = [len(x) for x, _ in found]
+                yield batch_of(schema, row=np.repeat(own, n), query_id=np.repeat(asked, n), vec_id=np.concatenate([x for x, _ in found]), wide=[str(max(-WIDEST, min(WIDEST, s))) for _, x in found for s in x])
+
+    near = dealt.join(shards, "block").sortWithinPartitions("block").select("block", "rows", "ids", "held", "dims", "q_rows", "q_ids", "q_held", "q_dims")
+    near = near.mapInArrow(run, "row long, query_id long, vec_id long, wide string").withColumn("wide", F.col("wide").cast("decimal(38,0)"))
+    order = W.partitionBy("row").orderBy(F.desc("wide"), "vec_id")
+    score = F.least(F.greatest("wide", F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
