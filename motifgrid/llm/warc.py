@@ -129,7 +129,7 @@ def _to_files(rows: DataFrame, path: str) -> None:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("archive").cast("string").alias("archive"), "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "/archive=([^/]+)/", 1).alias("archive"), "content")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
