@@ -73,9 +73,8 @@ def base(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 _SPELLED_AT = re.compile(r"(?i)(?:\x20?[(\[{]at[)\]}]\x20?|\x20at\x20|\x20@\x20?|@\x20)([a-z0-9-]+(?:(?:\x20?\.|\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20)[a-z0-9-]+)+)")
-_SPELLED_LOCAL = re.compile(r"(?i)[a-z0-9._%+-]+(?:(?:\x20dot\x20|\x20?[(\[{]dot[)\]}]\x20?)[a-z0-9._%+-]+){0,4}\Z")
-#: A spelled-out name before the @ sign is at most so long.
-LOCAL_CHARS = 80
+#: A spelled-out dot that ends here, and its greatest length.
+_SPELLED_DOT, DOT_CHARS = re.compile(r"(?i)(?:\x20dot\x20|\x20?[(\[{]dot[)\]}]\x20?)\Z"), 7
 _IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
 #: Forms with a double colon start at a run of hexadecimal digits and colons.
 _SHORT_IP6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f:]{3,39}(?![0-9A-Za-z:])")
@@ -122,6 +121,22 @@ def number_runs(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def spelled_local(text: str, end: int, least: int) -> int:
+    """Start of the name before a spelled-out at sign at `end`, not before `least`; `end` if there is none. Parts of the name may be joined by spelled-out dots."""
+    start, at = end, end
+    while True:
+        first = at
+        while first > least and text[first - 1] in _LOCAL:
+            first -= 1
+        if first == at:
+            return start
+        start = first
+        dot = _SPELLED_DOT.search(text[max(least, start - DOT_CHARS) : start])
+        if not dot:
+            return start
+        at = start - len(dot[0])
+
+
 def overlaps(held: list[tuple[int, int]], start: int, end: int) -> bool:
     """Whether start:end meets one of the sorted spans, which don't overlap each other."""
     i = bisect.bisect_left(held, (end, end))
@@ -130,11 +145,11 @@ def overlaps(held: list[tuple[int, int]], start: int, end: int) -> bool:
 
 def candidates(text: str, known: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Overlapping proposals outside the known spans."""
-    out = []
+    out, free = [], 0
     for m in _SPELLED_AT.finditer(text):
-        first = max(0, m.start() - LOCAL_CHARS)
-        if name := _SPELLED_LOCAL.search(text[first : m.start()]):
-            out.append(("email", first + name.start(), m.end()))
+        if (first := spelled_local(text, m.start(), free)) < m.start():
+            out.append(("email", first, m.end()))
+        free = m.end()
     if ":" in text:
         out += [("ip", *m.span()) for m in _IP6.finditer(text) if "::" not in m[0]]
         if "::" in text:
