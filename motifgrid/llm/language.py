@@ -9,7 +9,7 @@ texts at once.
 Defined results: null texts and texts without a letter are `und` with a score of 0, as is every text
 if nothing was learned; of equal scores the first language by name wins; a row without a language or a
 text isn't learned from; repeated rows count as often as they occur; a null doc_id counts as text ''. Predictions use the
-text alone. The score is the posterior with the evidence of at most EVIDENCE n-grams.
+text alone. The score is the posterior probability of the language.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, fresh, pieces, texts
 
-BUCKETS, ORDERS, EVIDENCE = 1 << 14, (1, 2, 3), 100
+BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -98,9 +98,8 @@ def predict(batch: list[str], langs: list[str], model: np.ndarray) -> tuple[list
     full = np.flatnonzero(n)
     if not langs or not len(full):
         return names, scores
-    logs = np.add.reduceat(model[buckets], begins[full], axis=0, dtype=np.float64)
-    best = (logs + model[-1]).argmax(axis=1)
-    logs = logs * (np.minimum(n[full], EVIDENCE) / n[full])[:, None] + model[-1]
+    logs = np.add.reduceat(model[buckets], begins[full], axis=0, dtype=np.float64) + model[-1]
+    best = logs.argmax(axis=1)
     part = np.exp(logs - logs.max(axis=1, keepdims=True))
     part /= part.sum(axis=1, keepdims=True)
     for i, b, p in zip(full.tolist(), best.tolist(), part, strict=True):
