@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .quality import LEAST_WORDS, MOST_LOST, MOST_REPEATED, PHRASES, SHORT_CHARS, SHORT_WORDS, WINDOW
+from .quality import LEAST_WORDS, MOST_LOST, MOST_REPEATED, PHRASE_SHARE, PHRASES, SHORT_WORDS, WINDOW
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in PHRASES)
+_PHRASES = " + ".join(f"if(contains(lower(line), '{p}'), {len(p)}, 0)" for p in PHRASES)
 
 OP3 = rf"""
 WITH docs AS (
@@ -35,7 +35,7 @@ WITH docs AS (
     FROM lines LEFT JOIN stuttered USING (k)
 ), judged AS (
     SELECT *, (pipes >= 2 AND pipes * 4 >= words) OR symbols * 5 > words * 2 OR shouts * 4 > words OR stutters * 4 > words
-        OR (length(line) <= {SHORT_CHARS} AND ({_PHRASES}))
+        OR ({_PHRASES}) * {PHRASE_SHARE} >= length(line)
         OR (words < {SHORT_WORDS} AND NOT regexp_matches(line, '[.!?…:;"''”’)\]][\x20\x09-\x0D]*$')) AS bad
     FROM counted
 ), by_text AS (

@@ -2,7 +2,7 @@
 
 Each line that holds a word is judged alone: navigation (many separators for its words), symbols,
 shouting (runs of marks), stutter (words equal
-to the one before), boilerplate (a short line with a stock phrase) and punctuation (a short line without an end mark). Failing lines
+to the one before), boilerplate (stock phrases hold a twentieth of the line or more) and punctuation (a short line without an end mark). Failing lines
 are removed. A document is rejected if the removed lines held more than MOST_LOST of its characters in
 words, or if it fails the base rules (fewer than 20 words, or over 30 % of the words in 8-word windows
 that occur twice or more).
@@ -27,7 +27,7 @@ STUTTER = r"(?<![^\x20])([^\x20\x09-\x0D]++)\x20\1(?![^\x20\x09-\x0D])"
 ENDS = r"""[.!?…:;"'”’)\]][\x20\x09-\x0D]*$"""
 PHRASES = ("all rights reserved", "cookie", "javascript", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign up", "log in", "subscribe", "lorem ipsum", "licensed under", "share this", "skip to content")
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-SHORT_CHARS, SHORT_WORDS, MOST_LOST = 200, 4, 0.5
+PHRASE_SHARE, SHORT_WORDS, MOST_LOST = 20, 4, 0.5
 
 
 def _line(x):
@@ -48,10 +48,10 @@ def _fails(x):
     shouts = x["shouts"] * 4 > words
     stutters = x["stutters"] * 4 > words
     low = F.lower(line)
-    phrase = F.lit(False)
+    phrases = F.lit(0)
     for p in PHRASES:
-        phrase = phrase | low.contains(p)
-    boilerplate = F.when(F.length(line) <= SHORT_CHARS, phrase).otherwise(False)
+        phrases = phrases + F.when(low.contains(p), len(p)).otherwise(0)
+    boilerplate = phrases * PHRASE_SHARE >= F.length(line)
     unfinished = (words < SHORT_WORDS) & ~line.rlike(ENDS)
     return navigation | symbols | shouts | stutters | boilerplate | unfinished
 
