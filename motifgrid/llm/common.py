@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,12 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: A folder of `new_path`.
+_WRITTEN = re.compile(r".*/[a-z-]+-[0-9a-f]{32}").fullmatch
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="motifgrid-")
         atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
@@ -36,6 +42,30 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, compression: str = "zstd") -> DataFrame:
+    """df as a table in the shared folder with a bucket for each shuffle partition: joins on `key` don't shuffle it."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", compression).format("parquet").saveAsTable(_table(path))
+    return spark.table(_table(path))
+
+
+def _table(path: str) -> str:
+    return path.rpartition("/")[2].replace("-", "_")
+
+
+def removed(*frames: DataFrame) -> None:
+    """Removes the folders (and tables) of frames that `written` and `bucketed` gave, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if _WRITTEN(folder):
+                spark.sql(f"DROP TABLE IF EXISTS {_table(folder)}")
+                path = hadoop.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """name, with underscores added until no column has it."""
     while name.lower() in {c.lower() for c in columns}:

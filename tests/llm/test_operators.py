@@ -201,6 +201,28 @@ def test_bit_sliced(spark, n):
     assert not got
 
 
+def test_bit_sliced_large_values_and_repeated_ids(spark):
+    """Components of any size are ranked by their exact sums; rows that repeat an id ask, and answer, each."""
+    made = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [100_000.0, 0.0]), (2, [90_000.0, 0.0]), (3, [3e9, -3e9]), (4, [1e30, 0.0]), (5, [-2.0, 7.0])]
+    d = spark.createDataFrame([(*x, 1, "r") for x in made], "vec_id long, embedding array<double>, v int, row string")
+    q = bit_sliced.quantised(d)
+    held = [(i, [max(-(2**63), min(2**63 - 1, int(np.floor(256 * c)))) for c in v]) for i, v in made]
+    want = Counter()
+    for a, (i, v) in enumerate(held):
+        if i % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(held) if a != b)[:5]
+            want.update((i, n + 1, j, min(-s, 2**63 - 1)) for n, (s, j) in enumerate(scores))
+    assert Counter(tuple(r) for r in bit_sliced.top_k(q, q.filter("vec_id % 50 = 0"), 5, 4, 2).collect()) == want
+
+
+def test_warc_of_no_pages(spark):
+    d = spark.createDataFrame([], "page_id long, url string, html string")
+    source, target, index = (new_path(spark, x) for x in ("s", "t", "i"))
+    warc.write_archives(d, source)
+    warc.normalise(spark, source, target, index)
+    assert warc.read_records(spark, target, index).count() == 0
+
+
 def test_warc(spark):
     made = [(i, f"http://x/{i}", f"<p>é{i % 7}</p>" if i % 3 else None) for i in range(40)] + [(None, None, "<p>é1</p>"), (4, "u\nv", "<p>é4</p>"), (99, "big", "z" * 300_000)]
     d = spark.createDataFrame([(*x, "e") for x in made], "page_id long, url string, html string, first string")
@@ -233,7 +255,8 @@ def test_warc_streams():
         list(warc.records(warc.inflated(whole[:100])))
 
 
-def components(sets):
+def components(sets, links=None):
+    """Smallest member of each component, by given links or by those of the sets."""
     root = {d: d for d in sets}
 
     def find(x):
@@ -241,7 +264,10 @@ def components(sets):
             x = root[x]
         return x
 
-    for a in sets:
+    for a, b in links or ():
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    for a in sets if links is None else ():
         for b in sets:
             if a < b and sets[a] and sets[b]:
                 n = len(sets[a] & sets[b])
@@ -322,6 +348,65 @@ def test_byte_bpe(docs, rows, empty):
         assert list(bpe.encode_match(s)) == held._encode_single_piece(s) if s not in ranks else True
 
 
+def test_byte_bpe_on_every_code_point():
+    """Letters and numbers are those of the library, whatever the version of the installed tables."""
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    held = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    _, encoder = byte_bpe.codec(RANKS, P.PATTERN, True)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 2000):
+        text = " ".join(f"{c}'s{c}1{c}" for c in points[at : at + 2000])
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == held.encode_ordinary(text), hex(at)
+
+
+def test_pii_spelled_names_of_any_length():
+    for name in ("a" * 100, " dot ".join("abcdefgh"), "x (dot) y [dot] z"):
+        text = f"write: {name} (at) example.com, {name} (at) example.com"
+        assert [text[a:b] for k, a, b in pii.candidates(text, []) if k == "email"] == [f"{name} (at) example.com"] * 2
+
+
+def plain_bayes(train, texts):
+    """Multinomial naive Bayes over hashed n-grams, one text at a time."""
+    def grams(t):
+        t = re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in (t or "").lower()))
+        t = t[1:] if t[:1] == " " else t
+        out = []
+        for n in language.ORDERS:
+            for i in range(len(t) - n + 1):
+                h = 0
+                for c in t[i : i + n]:
+                    h = ((h ^ ord(c)) * 0x01000193) % 2**32
+                h = (h + n) % 2**32
+                out.append((((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32) >> 18)
+        return out
+
+    counts, docs = defaultdict(Counter), Counter()
+    for lang, t in train:
+        docs[lang] += 1
+        counts[lang].update(grams(t))
+    whole = {k: sum(v.values()) + 0.5 * language.BUCKETS for k, v in counts.items()}
+    out = []
+    for t in texts:
+        g = grams(t)
+        logs = {k: np.log(docs[k] / sum(docs.values())) + sum(np.log((counts[k][b] + 0.5) / whole[k]) for b in g) for k in sorted(docs)}
+        best = max(logs, key=logs.get) if g else "und"
+        out.append((best, 1 / sum(np.exp(v - logs[best]) for v in logs.values()) if g else 0.0))
+    return out
+
+
+def test_language_equals_plain_bayes(docs, rows):
+    train = [(x[2], x[1]) for x in rows if x[2] is not None and x[1] is not None and zlib.crc32(str("" if x[0] is None else x[0]).encode()) % 3 != 1]
+    few = [x for x in rows if x[0] != 304]
+    want = defaultdict(list)
+    for x, (lang, score) in zip(few, plain_bayes(train, [x[1] for x in few]), strict=True):
+        want[x[0]].append((lang, score))
+    for r in language.language_of(docs).filter("doc_id is null or doc_id <> 304").collect():
+        assert any(r.lang_pred == lang and abs(r.score - score) < 1e-3 for lang, score in want[r.doc_id]), r
+
+
 def family(members, template, own, shared):
     """Texts alike at 0.70 by a template; the last two also share the first words of their ends."""
     head = " ".join(f"t1x{j}" for j in range(template))
@@ -344,11 +429,27 @@ def minhash_words(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def test_parities_bound_the_difference():
+def test_parities_lose_no_pair():
+    """Every pair that is alike enough is possible, and exact forests join just the linked texts."""
     r = np.random.default_rng(3)
-    for n, m, both in ((1, 1, 0), (5, 9, 3), (300, 280, 250), (255, 260, 100), (3000, 4100, 2500)):
-        x = r.integers(0, 2**63, n + m - both, dtype=np.uint64)
-        a, b = x[:n], x[n - both :]
-        p, q = (np.frombuffer(minhash.parity(v), np.uint64) for v in (a, b))
-        assert minhash.least_difference(p, q) <= n + m - 2 * both
-        assert minhash.least_difference(p, p) == 0
+    base = np.sort(r.integers(0, 2**63, 900, dtype=np.uint64))
+    made = [np.unique(np.concatenate([base[: r.integers(20, 900)], r.integers(0, 2**63, r.integers(0, 120), dtype=np.uint64)])) for _ in range(150)]
+    n, doc = np.array([len(x) for x in made]), np.arange(len(made))
+    m = minhash.Members(doc, n, doc, [minhash.parity(x) for x in made], [x.tobytes() for x in made])
+    found = {tuple(sorted((int(m.doc[i]), int(m.doc[j])))) for i, js, _ in minhash.possible(m, m, True) for j in js}
+    both = lambda a, b: len(np.intersect1d(made[a], made[b]))
+    linked = {(a, b) for a in range(150) for b in range(a + 1, 150) if 100 * both(a, b) >= 75 * (n[a] + n[b] - both(a, b))}
+    assert linked <= found and {(a, b) for a in range(150) for b in range(a + 1, 150) if minhash.alike(made[a], made[b])} == linked
+    roots = lambda edges: components({d: {d} for d in range(150)}, edges)
+    assert roots(minhash.forest(m, m, True)) == roots(linked)
+    odd, even = (minhash.Members(doc[i::2], n[i::2], doc[i::2], [minhash.parity(x) for x in made[i::2]], [x.tobytes() for x in made[i::2]]) for i in (1, 0))
+    across = {x for x in linked if (x[0] + x[1]) % 2}
+    assert roots(minhash.forest(odd, even, False)) == roots(across)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(f"u{i}" for i in range(60))]
+    d = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (9, texts[0]), (9, texts[2]), (7, texts[1]), (None, texts[2]), (None, "alone here"), (8, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(d).collect())
+    assert got == Counter([(1, 1, True), (1, 1, True), (9, 1, False), (9, 9, True), (7, 1, False), (None, 9, False), (None, None, True), (8, 8, True)])
