@@ -1,13 +1,16 @@
 """Operator 4: packing by lexical retrieval.
 
-Every document is encoded once into a written table. A first pass over it counts, over all
-documents, how many hold each token id (at most one row for each vocabulary entry). The second pass
-deals with shards of `shard_docs` documents: a shard has a BM25 inverted index over token ids, with the corpus-wide
-counts. A document that doesn't fill its window is a seed: the index ranks the shard's unused
-documents by BM25 for the seed's ids, and the window takes them in that order. A neighbour that
-doesn't fit is cut, and its rest is the seed of the next window. A window left open by the shard
-goes on in the next one; what is left at the end of a partition is cut into lengths that are powers
-of two. So full windows hold no padding, and no sequence needs any.
+Every document is encoded once into a written table, which also takes a count of documents for each token
+id from every task. Documents are then routed to shards by content: a document's route is its ROUTES rarest
+token ids among those that at least one document in ROUTED holds, rarest first, and documents are
+range-partitioned and sorted by route, so those that share telling ids stand together and no group of equal
+routes has to fit a task. A shard is the next SHARD_DOCS documents of that order (or SHARD_TOKENS tokens); it has a
+BM25 inverted index over token ids, with the corpus-wide counts; ids that more than COMMON of all
+documents hold tell little and are left out. A document that doesn't fill its window is a seed: the
+index ranks the shard's unused documents by BM25 for the seed's ids, and the window takes them in that
+order. A neighbour that doesn't fit is cut, and its rest is the seed of the next window. A window left
+open by the shard goes on in the next one; what is left at the end of a partition is cut into lengths that
+are powers of two. So full windows hold no padding, and no sequence needs any.
 
 Defined results: null and empty texts hold only the end id; repeated rows and equal doc_ids are
 packed as separate documents; ties in BM25 go to the earlier row of the shard; if no unused document
@@ -29,24 +32,34 @@ from pyspark.sql import functions as F
 from .common import batch_of, buffers, pieces, texts, written
 from .tokens import library_encoder
 
-WINDOW, SHARD_DOCS = 2048, 256
+WINDOW, SHARD_DOCS, SHARD_TOKENS = 2048, 1024, 4 << 20
+ROUTES, ROUTED, COMMON = 3, 40, 0.5
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 16-bit if they fit, else 32-bit), written to the shared folder."""
-    schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+    """doc_id, width and ids (binary, little-endian unsigned 16-bit if they fit, else 32-bit), written to the shared folder.
+
+    Each task adds a row without ids, whose `counts` holds its documents, its tokens, and the documents by token id.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = library_encoder(vocabulary)
+        encoder, held, docs_, tokens = library_encoder(vocabulary), np.zeros(1 << 16, np.int64), 0, 0
         for batch in pieces(batches, "text", 1 << 20):
             ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode(texts(batch.column("text")))]
-            width = [2 if x.max() < 65536 else 4 for x in ids]
-            yield batch_of(schema, doc_id=batch.column("doc_id"), width=width, ids=[x.astype(f"<u{w}").tobytes() for x, w in zip(ids, width, strict=True)])
+            once = [np.unique(x) for x in ids]
+            width = [2 if x[-1] < 65536 else 4 for x in once]
+            found = np.bincount(np.concatenate(once), minlength=len(held))
+            found[: len(held)] += held
+            held, docs_, tokens = found, docs_ + len(ids), tokens + sum(map(len, ids))
+            yield batch_of(schema, doc_id=batch.column("doc_id"), width=width, ids=[x.astype(f"<u{w}").tobytes() for x, w in zip(ids, width, strict=True)], counts=[None] * len(ids))
+        if docs_:
+            yield batch_of(schema, doc_id=[None], width=[0], ids=[None], counts=[np.concatenate([[docs_, tokens], held]).tobytes()])
 
-    return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, width int, ids binary"), "packing-ids")
+    return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, width int, ids binary, counts binary"), "packing-ids")
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -54,36 +67,60 @@ def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [held[a:b].view(f"<u{w}").astype(np.int64) for a, b, w in zip(at[:-1], at[1:], batch.column("width").to_pylist(), strict=True)]
 
 
-def document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """Token ids with the number of documents that hold them, the number of documents, the mean length."""
+def document_counts(rows: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Number of documents that hold each token id, the number of documents, the mean length."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        held, docs, tokens = np.zeros(1, np.int64), 0, 0
+        whole = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in _ids(batch):
-                once = np.unique(ids)
-                if once[-1] >= len(held):
-                    held = np.concatenate([held, np.zeros(once[-1] + 1 + len(held), np.int64)])
-                held[once] += 1
-                docs, tokens = docs + 1, tokens + len(ids)
-        found = np.flatnonzero(held)
-        if docs:
-            yield batch_of(schema, id=np.concatenate([found, [-1, -2]]), n=np.concatenate([held[found], [docs, tokens]]))
+            for x in batch.column("counts"):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                whole = x + np.pad(whole, (0, len(x) - len(whole))) if len(x) >= len(whole) else whole + np.pad(x, (0, len(whole) - len(x)))
+        found = np.flatnonzero(whole)
+        if len(found):
+            yield batch_of(schema, id=found, n=whole[found])
 
     # one row for each entry of the vocabulary at most, whatever the number of documents
-    counts = rows.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    whole = dict(zip(counts["id"].tolist(), counts["n"].tolist(), strict=True))
-    n, tokens = whole.pop(-1, 0), whole.pop(-2, 0)
-    return np.array(list(whole), np.int64), np.array(list(whole.values()), np.int64), n, tokens / max(n, 1)
+    counts = rows.filter("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    whole = np.zeros(int(counts["id"].max()) + 2 if len(counts) else 3, np.int64)
+    whole[counts["id"]] = counts["n"]
+    return whole[2:], int(whole[0]), float(whole[1] / max(whole[0], 1))
+
+
+def routed(rows: DataFrame, counts) -> DataFrame:
+    """The documents in the order of their routes: the ROUTES rarest ids that one document in ROUTED holds."""
+    names = [f"r{i}" for i in range(ROUTES)]
+    schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), *[(k, pa.int64()) for k in names], ("tie", pa.int64())])
+
+    def run(batches):
+        held, n = counts.value
+        rank = np.where(held * ROUTED >= n, held, n + 1) * len(held) + np.arange(len(held))  # rarest first, then by id
+        last = (n + 1) * len(held)
+        for batch in pieces(batches, "ids"):
+            ids = _ids(batch)
+            at = np.cumsum([0, *map(len, ids)])
+            left, routes = rank[np.concatenate(ids)], []
+            for _ in names:
+                least = np.minimum.reduceat(left, at[:-1])
+                routes.append(np.minimum(least, last))
+                left[left == np.repeat(least, np.diff(at))] = last
+            yield batch_of(schema, doc_id=batch.column("doc_id"), width=batch.column("width"), ids=batch.column("ids"), tie=[zlib.crc32(x.as_buffer()) for x in batch.column("ids")], **dict(zip(names, routes, strict=True)))
+
+    keyed = rows.filter("ids is not null").select("doc_id", "width", "ids").mapInArrow(run, "doc_id long, width int, ids binary, " + ", ".join(f"{k} long" for k in names) + ", tie long")
+    return keyed.repartitionByRange(*names, "tie", "doc_id").sortWithinPartitions(*names, "tie", "doc_id").select("doc_id", "width", "ids")
 
 
 class Bm25:
-    """Inverted index over the token ids of a shard."""
+    """Inverted index over the token ids of a shard; ids without an idf are left out."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.size = len(docs)
-        found = [np.unique(x, return_counts=True) for x in docs]
+        found = []
+        for ids in docs:
+            term, n = np.unique(ids, return_counts=True)
+            telling = idf[term] > 0
+            found.append((term[telling], n[telling]))
         self.terms = [x for x, _ in found]
         doc = np.repeat(np.arange(self.size), [len(x) for x, _ in found])
         term, tf = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
@@ -95,11 +132,12 @@ class Bm25:
 
     def rank(self, seed: int, free: np.ndarray) -> np.ndarray:
         """The free documents, best first."""
-        terms = self.terms[seed]
+        left, terms = np.flatnonzero(free), self.terms[seed]
+        if not len(terms):
+            return left
         a, n = self.start[terms], self.start[terms + 1] - self.start[terms]
         at = np.arange(n.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         scores = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.size)
-        left = np.flatnonzero(free)
         return left[np.argsort(-scores[left], kind="stable")]
 
 
@@ -163,16 +201,15 @@ def packed_shard(docs: list[tuple[object, np.ndarray]], idf: np.ndarray, mean: f
 
 def packed(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW, shard_docs: int = SHARD_DOCS, with_ids: bool = False) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    rows = encoded(docs, vocabulary, end_id)
-    terms, counts, n, mean = document_counts(rows)
-    idf = np.zeros(int(terms.max()) + 2 if len(terms) else 1, np.float64)
-    idf[terms] = np.log1p((n - counts + 0.5) / (counts + 0.5))
-    held = rows.sparkSession.sparkContext.broadcast(idf)  # 8 bytes for each vocabulary entry
+    rows, context = encoded(docs, vocabulary, end_id), docs.sparkSession.sparkContext
+    counts, n, mean = document_counts(rows)
+    idf = np.where(counts <= COMMON * n, np.log1p((n - counts + 0.5) / (counts + 0.5)), 0)
+    held, known = context.broadcast(idf), context.broadcast((counts, n))  # 8 bytes for each vocabulary entry
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = pa.schema([(k, pa.int64()) for k in names] + [("ids", pa.binary())] * with_ids)
 
     def run(batches):
-        out, shard = Windows(TaskContext.get().partitionId() << 40, window), []
+        out, shard, size = Windows(TaskContext.get().partitionId() << 40, window), [], 0
 
         def done():
             columns = dict(zip(names, map(list, zip(*(x[:7] for x in out.closed), strict=True)), strict=True)) if out.closed else None
@@ -184,13 +221,14 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WIND
         for batch in pieces(batches, "ids"):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), _ids(batch), strict=True):
                 shard.append((doc, ids))
-                if len(shard) == shard_docs:
+                size += len(ids)
+                if len(shard) == shard_docs or size >= SHARD_TOKENS:
                     packed_shard(shard, held.value, mean, out)
-                    shard = []
+                    shard, size = [], 0
                     yield from done()
         if shard:
             packed_shard(shard, held.value, mean, out)
         out.end()
         yield from done()
 
-    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", ids binary" * with_ids)
+    return routed(rows, known).mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", ids binary" * with_ids)

@@ -24,21 +24,14 @@ _LETTERS = re.compile(r"\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fu
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
-class _Kept(dict):
-    """Ids of units; what isn't kept is looked up among those of the present batch."""
-
-    batch: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        return self.batch[key]
-
-
 class UnitEncoder:
     """encode(texts) gives the ids of each text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, backend: Callable[[list[str]], list[bytes]], cuts: bool = True, kept: int = UNITS_KEPT):
-        self.backend, self.cuts, self.kept = backend, cuts, kept
-        self.spaced, self.plain = _Kept(), _Kept()
+    def __init__(self, backend: Callable[[list[str]], list[bytes]], cuts: bool = True, kept: int = UNITS_KEPT, single: Callable[[list[str]], list[bytes]] | None = None):
+        """single: encodes units that are one match of the pattern each (letters, with a space before them or not)."""
+        self.backend, self.cuts, self.kept, self.single = backend, cuts, kept, single or backend
+        self.spaced: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _units(self, text: str) -> tuple[list[str], list[str]]:
@@ -49,41 +42,77 @@ class UnitEncoder:
             return [first], rest
         return _CUT.split(text) if text else [], []
 
-    def _learn(self, units: list[list[str]], known: _Kept, whole: Callable[[str], str]) -> None:
-        """Encodes the units that aren't kept: a mark after letters apart, as the pattern does."""
-        new = [k for k in set().union(*units) if k not in known]
-        heads, marked = set(), []
+    def _learn(self, units: list[list[str]], known: dict[str, bytes], whole: Callable[[str], str]) -> list[str]:
+        """Encodes the units that aren't known: a mark after letters apart, as the pattern does. Gives those that mustn't be kept."""
+        new = set().union(*units).difference(known)
+        room = self.kept - len(self.spaced) - len(self.plain)
+        letters, other, marked = set(), set(), []
         for k in new:
             if k[-1:] in _MARKS and _LETTERS(k, 0, len(k) - 1):
                 marked.append(k)
-                heads.add(k[:-1])
+                k = k[:-1]
+                (letters if k[0] != "\n" else other).add(k)
+            elif _LETTERS(k) and k[0] != "\n":
+                letters.add(k)
             else:
-                heads.add(k)
-        heads = [k for k in heads if k not in known]
-        known.batch = found = dict(zip(heads, self.backend([whole(k) for k in heads]), strict=True)) if heads else {}
+                other.add(k)
+        added = [*letters.difference(known)]
+        known.update(zip(added, self.single([whole(k) for k in added]), strict=True))
+        heads = [*other.difference(known)]
+        known.update(zip(heads, self.backend([whole(k) for k in heads]), strict=True))
         for k in marked:
             if (mark := self.marks.get(k[-1])) is None:
                 mark = self.marks[k[-1]] = self.backend([k[-1]])[0]
-            found[k] = known[k[:-1]] + mark
-        room = self.kept - len(self.spaced) - len(self.plain)
-        if room > 0:
-            known.update(found if len(found) <= room else list(found.items())[:room])
+            known[k] = known[k[:-1]] + mark
+        added += heads + marked
+        return added[max(0, room) :]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.backend(texts)
         parts = [self._units(x) for x in texts]
-        self._learn([x for x, _ in parts], self.plain, lambda k: k)
-        self._learn([x for _, x in parts], self.spaced, lambda k: k if k[:1] == "\n" else f" {k}")
+        spare = self._learn([x for x, _ in parts], self.plain, lambda k: k), self._learn([x for _, x in parts], self.spaced, lambda k: k if k[:1] == "\n" else f" {k}")
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
         out = [b"".join(map(plain, head)) + b"".join(map(spaced, tail)) for head, tail in parts]
-        self.plain.batch = self.spaced.batch = {}
+        for known, keys in zip((self.plain, self.spaced), spare, strict=True):
+            for k in keys:
+                del known[k]
         return out
 
 
 _OPEN: dict[tuple, UnitEncoder] = {}
 
 
+def _single(spec: dict) -> Callable[[list[str]], list[bytes]] | None:
+    """The same vocabulary without the splitting pattern, for units that the pattern wouldn't split.
+
+    Many units are encoded in one call; each ends with a control character whose entry no merge holds,
+    so its id marks the unit's end. None if there is no such character.
+    """
+    from tokenizers import Tokenizer
+
+    merged = set("".join("".join(x) for x in spec["model"]["merges"]))
+    sign = next((c for c in range(32) if chr(256 + c) not in merged and chr(256 + c) in spec["model"]["vocab"]), None)  # byte-level: byte c is written as 256 + c
+    if sign is None:
+        return None
+    split = spec["pre_tokenizer"] | {"use_regex": False}
+    held = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": split, "post_processor": None, "added_tokens": []}))
+    end, mark = chr(sign), spec["model"]["vocab"][chr(256 + sign)]
+
+    def single(units: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(units), 4096):
+            some = [k + end for k in units[at : at + 4096]]
+            ids = np.array(held.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            data, start = ids.tobytes(), 0
+            for stop in (np.flatnonzero(ids == mark) * 4).tolist():
+                out.append(data[start:stop])
+                start = stop + 4
+        return out
+
+    return single
+
+
 def library_encoder(path: str) -> UnitEncoder:
     """The worker's encoder for a vocabulary file of the tokenizers library."""
     if (path,) not in _OPEN:
@@ -98,18 +127,7 @@ def library_encoder(path: str) -> UnitEncoder:
         cuts = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
 
         def backend(units: list[str]) -> list[bytes]:
-            if not cuts:
-                return [array("I", x.ids).tobytes() for x in held.encode_batch_fast(units, add_special_tokens=False)]
-            out: list[bytes] = []
-            for at in range(0, len(units), 4096):  # one encoding holds many units, each split by itself
-                some = units[at : at + 4096]
-                made = held.encode(some, is_pretokenized=True, add_special_tokens=False)
-                ids, ends = array("I", made.ids).tobytes(), np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(some)), side="right") * 4
-                start = 0
-                for end in ends.tolist():
-                    out.append(ids[start:end])
-                    start = end
-            return out
-
-        _OPEN[(path,)] = UnitEncoder(backend, cuts)
+            return [array("I", x.ids).tobytes() for x in held.encode_batch_fast(units, add_special_tokens=False)]
+
+        _OPEN[(path,)] = UnitEncoder(backend, cuts, single=_single(spec) if cuts else None)
     return _OPEN[(path,)]
