@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Three-letter residue names and their letters, nucleotides and their complements.
@@ -29,17 +29,30 @@ def parsed_cigar(text: Column) -> Column:
     return F.zip_with(F.regexp_extract_all(text, F.lit(r"\d+([A-Za-z])"), F.lit(1)), sizes, lambda o, n: F.struct(o.alias("op"), n.alias("len")))
 
 
+def cigar_runs(ops: Column, start1: Column, start2: Column) -> Column:
+    """array<struct<op, len, i, j, col>>: where each operation begins, from 1-based starts."""
+    made = F.array().cast("array<struct<op:string,len:int,i:int,j:int,col:int>>")
+    state = F.struct((start1 - 1).cast("int").alias("i"), (start2 - 1).cast("int").alias("j"), F.lit(0).alias("col"), made.alias("runs"))
+
+    def step(s, o):
+        n = F.greatest(o["len"], F.lit(0))
+        run = F.struct(o["op"].alias("op"), n.alias("len"), s["i"].alias("i"), s["j"].alias("j"), s["col"].alias("col"))
+        return F.struct((s["i"] + F.when(o["op"] != "D", n).otherwise(0)).alias("i"), (s["j"] + F.when(o["op"] != "I", n).otherwise(0)).alias("j"), (s["col"] + n).alias("col"), F.concat(s["runs"], F.array(run)).alias("runs"))
+
+    return F.filter(F.aggregate(ops, state, step, lambda s: s["runs"]), lambda r: r["len"] > 0)
+
+
 def cigar_columns(ops: Column, start1: Column, start2: Column) -> Column:
     """array<struct<i, j>> of alignment columns from 1-based starts; null is a gap (D in the first, I in the second)."""
-    state = F.struct((start1 - 1).cast("int").alias("i"), (start2 - 1).cast("int").alias("j"), F.array().cast("array<struct<i:int,j:int>>").alias("c"))
+    cell = lambda r, k: F.struct(F.when(r["op"] != "D", r["i"] + k).alias("i"), F.when(r["op"] != "I", r["j"] + k).alias("j"))
+    return F.flatten(F.transform(cigar_runs(ops, start1, start2), lambda r: F.transform(F.sequence(F.lit(0), r["len"] - 1), lambda k: cell(r, k))))
 
-    def step(s, o):
-        one, two = o["op"] != "D", o["op"] != "I"
-        made = F.transform(F.sequence(F.lit(0), o["len"] - 1), lambda k: F.struct(F.when(one, s["i"] + k).alias("i"), F.when(two, s["j"] + k).alias("j")))
-        made = F.when(o["len"] > 0, made).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-        return F.struct((s["i"] + F.when(one, o["len"]).otherwise(0)).alias("i"), (s["j"] + F.when(two, o["len"]).otherwise(0)).alias("j"), F.concat(s["c"], made).alias("c"))
 
-    return F.aggregate(ops, state, step, lambda s: s["c"])
+def cigar_rows(df: DataFrame, ops: Column, start1: Column, start2: Column) -> DataFrame:
+    """df with a row (col, i, j) for each alignment column: operations are exploded, then their columns."""
+    d = df.select(*df.columns, F.explode(cigar_runs(ops, start1, start2)).alias("r")).select(*df.columns, "r", F.explode(F.sequence(F.lit(0), F.col("r.len") - 1)).alias("k"))
+    at = lambda c: F.col(f"r.{c}") + F.col("k")
+    return d.select(*df.columns, at("col").alias("col"), F.when(F.col("r.op") != "D", at("i")).alias("i"), F.when(F.col("r.op") != "I", at("j")).alias("j"))
 
 
 def gapped_columns(aln: Column) -> Column:

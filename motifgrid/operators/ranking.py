@@ -35,16 +35,15 @@ def first_false_positive(hits: DataFrame, classes: DataFrame) -> DataFrame:
     sized = class_sizes(classes)
     q = sized.select(F.col("prot_id").alias("query"), *[F.col(k).alias(f"q_{k}") for k in ("fam", "sfam", "fold")])
     t = sized.select(F.col("prot_id").alias("target"), "fam", "sfam", "fold")
-    d = hits.join(q, "query").join(t, "target", "left").filter("query <> target")
-    false = F.col("fold").isNull() | (F.col("fold") != F.col("q_fold"))
+    d = hits.join(q, "query").join(t, "target", "left")
+    false = (F.col("query") != F.col("target")) & (F.col("fold").isNull() | (F.col("fold") != F.col("q_fold")))
     # the first false rank is a partial minimum, so that a query with many hits needs no window
     cut = d.groupBy("query").agg(F.min(F.when(false, F.col("rank"))).alias("cut"))
-    d = d.join(cut, "query").filter(F.col("cut").isNull() | (F.col("rank") < F.col("cut")))
+    d = d.filter("query <> target").join(cut, "query").filter(F.col("cut").isNull() | (F.col("rank") < F.col("cut")))
     fam, sfam = F.col("fam") == F.col("q_fam"), F.col("sfam") == F.col("q_sfam")
     n = d.groupBy("query").agg(F.count_if(fam).alias("fam_hits"), F.count_if(~fam & sfam).alias("sfam_hits"), F.count_if(~fam & ~sfam).alias("fold_hits"))
-    asked = hits.select("query").distinct()
-    able = sized.filter("fam_n > 1 and sfam_n > fam_n and fold_n > sfam_n").withColumnRenamed("prot_id", "query").join(asked, "query", "left_semi")
-    d = able.join(n, "query", "left").join(cut, "query", "left")
+    able = sized.filter("fam_n > 1 and sfam_n > fam_n and fold_n > sfam_n").withColumnRenamed("prot_id", "query")
+    d = able.join(cut, "query").join(n, "query", "left")  # cut has every query that was asked
     share = lambda hit, size: F.coalesce(hit, F.lit(0)) / size.cast("double")
     return d.select(
         "query", F.col("fam").alias("scop"),

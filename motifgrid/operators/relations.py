@@ -33,10 +33,11 @@ def key_length_report(one: DataFrame, two: DataFrame) -> DataFrame:
 
 def guarded(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """The pairs; the query fails if one holds a bad name."""
-    bad = names.toDF("__bad")
-    hit = pairs.join(F.broadcast(bad), (F.col("prot1") == F.col("__bad")) | (F.col("prot2") == F.col("__bad")), "left") if names.schema else pairs
-    checked = F.when(F.col("__bad").isNotNull(), F.raise_error(F.lit("a pair holds an excluded name"))).otherwise(F.col("prot1"))
-    return hit.withColumn("prot1", checked.cast(pairs.schema["prot1"].dataType)).select(*pairs.columns)
+    for side in ("prot1", "prot2"):
+        bad = names.toDF("__bad").distinct()
+        checked = F.when(F.col("__bad").isNotNull(), F.raise_error(F.lit("a pair holds an excluded name"))).otherwise(F.col(side))
+        pairs = pairs.join(bad, F.col(side) == F.col("__bad"), "left").withColumn(side, checked.cast(pairs.schema[side].dataType)).select(*pairs.columns)
+    return pairs
 
 
 def key_differences(one: DataFrame, two: DataFrame) -> DataFrame:

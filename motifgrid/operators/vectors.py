@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,21 +11,48 @@ from pyspark.sql import functions as F
 from ..functions.vectors import total, weighted_jaccard
 
 
+#: Vectors of a block have about this many rows for each root of all vectors.
+_SPREAD = 8
+
+
 def similar_pairs(vectors: DataFrame, least: float = 0.5, group: str | None = None) -> DataFrame:
-    """a < b and sim >= least of vectors (id, vec).
+    """a < b and sim >= least of vectors (id, vec); with `group`, inside its values only.
 
-    sum(min) <= the smaller total, and sum(max) >= the larger one, so totals whose ratio is below the
-    threshold can't pass. Totals are dealt into bands whose ends have this ratio, and a vector meets
-    its own band and the next one only.
+    The similarity of two vectors is at most the ratio of their totals, so a vector can only meet those whose
+    total lies within 1 / least. Vectors are dealt into blocks, as many as a part of the root of their number; a task
+    compares a pair of blocks, ordered by total, over the window that the bound leaves, and only similar pairs leave it.
     """
-    width = F.ln(F.lit(1.0 / least))
-    d = vectors.withColumn("t", total(F.col("vec"))).filter("t > 0").withColumn("band", F.floor(F.ln("t") / width))
+    d = vectors.withColumn("t", total(F.col("vec"))).filter("t > 0")
     keys = [group] if group else []
-    a = d.select(*keys, F.col("id").alias("a"), F.col("vec").alias("va"), F.col("t").alias("ta"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own"))
-    b = d.select(*keys, F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("t").alias("tb"), "band")
-    near = a.join(b, [*keys, "band"]).filter((F.col("own") != F.col("band")) | (F.col("a") < F.col("b")))
-    near = near.filter(F.least("ta", "tb") >= least * F.greatest("ta", "tb")).withColumn("sim", weighted_jaccard(F.col("va"), F.col("vb"))).filter(F.col("sim") >= least)
-    return near.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    sizes = d.groupBy(*keys).agg(F.ceil(F.sqrt(F.count("*").cast("double")) / _SPREAD).cast("int").alias("blocks"))
+    d = d.join(sizes, keys) if keys else d.crossJoin(sizes)  # one row
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("x"), F.greatest(j, block).alias("y")))
+    d = d.select(*keys, "id", "vec", "t", block.alias("block"), F.explode(cells).alias("cell")).select(*keys, "id", "vec", "t", "block", "cell.x", "cell.y")
+    spec = ", ".join([*[f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys], "a long, b long, sim double"])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t", "id"], kind="stable")
+        x, y = int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
+        mine, other = frame[frame["block"] == x], frame[frame["block"] == y]
+        v, ids, t = np.stack(other["vec"].to_numpy()).astype(float) if len(other) else None, other["id"].to_numpy(), other["t"].to_numpy()
+        found = []
+        for i, (one, vec, size) in enumerate(zip(mine["id"], mine["vec"], mine["t"], strict=True)) if len(other) else ():
+            lo, hi = np.searchsorted(t, size * least * (1 - 1e-9)), np.searchsorted(t, size / least * (1 + 1e-9), side="right")
+            lo = max(int(lo), i + 1) if x == y else int(lo)
+            if lo >= hi:
+                continue
+            vec = np.asarray(vec, float)
+            sim = np.minimum(v[lo:hi], vec).sum(axis=1) / np.maximum(v[lo:hi], vec).sum(axis=1)
+            near = np.flatnonzero(sim >= least)
+            found.append((np.minimum(ids[lo:hi][near], one), np.maximum(ids[lo:hi][near], one), sim[near]))
+        made = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        out = pd.DataFrame({"a": made[0], "b": made[1], "sim": made[2]})
+        for k in keys:
+            out.insert(0, k, frame[k].iloc[0])
+        return out
+
+    return d.groupBy(*keys, "x", "y").applyInPandas(run, spec)
 
 
 def neighbour_graph(pairs: DataFrame, k: int) -> DataFrame:

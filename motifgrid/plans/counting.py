@@ -260,10 +260,15 @@ def percent_identity(spark, d):
     return x.select(r6(sq.percent_identity(side("a"), side("b"), [0, 1, 2, 3]), "identity"), "pair")
 
 
-@query(f"WITH {L} SELECT prot_id, pos, round(avg(value - 50) OVER (PARTITION BY prot_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 6) AS running, round(avg(value - 50) OVER (PARTITION BY prot_id), 6) AS overall FROM L")
+_GAP = "CAST(sum(CAST(round((value - 50) * 10000) AS BIGINT)) OVER ({0}) AS DOUBLE) / 10000 / count(*) OVER ({0})"
+
+
+@query(f"WITH {L} SELECT prot_id, pos, round({_GAP.format('PARTITION BY prot_id ORDER BY pos ROWS UNBOUNDED PRECEDING')} + 1e-9, 4) AS running, round({_GAP.format('PARTITION BY prot_id')} + 1e-9, 4) AS overall FROM L")
 def calibration_running(spark, d):
-    x, w = letters(spark, d).withColumn("gap", F.col("value") - 50), W.partitionBy("prot_id")
-    return x.select("prot_id", "pos", r6(F.avg("gap").over(w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)), "running"), r6(F.avg("gap").over(w), "overall"))
+    """Sums are of whole ten-thousandths, so that their order doesn't matter; 1e-9 keeps means off the halves, which engines round differently."""
+    x, w = letters(spark, d).withColumn("gap", F.round((F.col("value") - 50) * 10000).cast("long")), W.partitionBy("prot_id")
+    mean = lambda over, name: (F.round(F.sum("gap").over(over).cast("double") / 10000 / F.count("*").over(over) + 1e-9, 4) + 0.0).alias(name)
+    return x.select("prot_id", "pos", mean(w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0), "running"), mean(w, "overall"))
 
 
 @query(f"WITH {P} SELECT round(avg((va - vb) * (va - vb)), 4) AS mse FROM P")

@@ -16,7 +16,11 @@ from .base import FAM, HITS, L, P, aligned, families, hits, letters, query, quer
 
 def _work(spark, name):
     """A new folder of the shared folder (a temporary one where none is named)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/motifgrid-{name}-{uuid.uuid4().hex}"
 
 
