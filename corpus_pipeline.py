@@ -32,9 +32,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Rows that repeat a doc_id stay together."""
-    found = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").select(*docs.columns)
+    """One row of each group stays, the first of the table: rows are told apart by their place in it, so a repeated doc_id doesn't matter.
+
+    docs must give the same rows in the same partitions each time it is read, as a written table does.
+    """
+    row = fresh(docs.columns, "row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = minhash.near_duplicates(placed.select(F.col(row).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias(row))
+    return placed.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
