@@ -33,6 +33,7 @@ PHRASE_SHARE, SHORT_WORDS, MOST_LOST = 20, 4, 0.5
 def _line(x):
     return F.struct(
         x.alias("line"),
+        F.lower(x).alias("low"),
         F.regexp_count(x, F.lit(SYMBOLS)).alias("symbols"),
         F.regexp_count(x, F.lit(r"[!?]{2,}")).alias("shouts"),
         F.regexp_count(x, F.lit(WORD)).alias("words"),
@@ -47,10 +48,9 @@ def _fails(x):
     symbols = x["symbols"] * 5 > words * 2
     shouts = x["shouts"] * 4 > words
     stutters = x["stutters"] * 4 > words
-    low = F.lower(line)
     phrases = F.lit(0)
     for p in PHRASES:
-        phrases = phrases + F.when(low.contains(p), len(p)).otherwise(0)
+        phrases = phrases + F.when(x["low"].contains(p), len(p)).otherwise(0)
     boilerplate = phrases * PHRASE_SHARE >= F.length(line)
     unfinished = (words < SHORT_WORDS) & ~line.rlike(ENDS)
     return navigation | symbols | shouts | stutters | boilerplate | unfinished
