@@ -269,16 +269,17 @@ def open_rows(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 def cells(rows: DataFrame, sets: DataFrame, size: str) -> DataFrame:
     """The open rows dealt to cells (key, x, y), with the columns of sets; `size` names the largest of these.
 
-    y >= 0: blocks x and y of outsiders; y < 0: block x of outsiders and block -1 - y of the largest component. The number
-    of blocks of outsiders grows with the square root of theirs, so neither cells nor copies grow fast.
+    y >= 0: blocks x and y of outsiders; y < 0: block x of outsiders and block -1 - y of the largest component; x = y = -1:
+    all members, where one block of each is enough. The number of blocks of outsiders grows with the
+    square root of theirs, so neither cells nor copies grow fast.
     """
     rows = rows.join(sets, "doc_id")
     bytes_ = F.octet_length(size).cast("double")
     weights = rows.groupBy("key").agg(F.sum(F.when(F.col("outsider"), bytes_)).alias("b_out"), F.sum(F.when(~F.col("outsider"), bytes_)).alias("b_in"))
     weights = weights.select("key", F.greatest(F.ceil(F.coalesce("b_out", F.lit(0.0)) / BLOCK_BYTES), F.lit(1)).alias("w_out"), F.greatest(F.ceil(F.coalesce("b_in", F.lit(0.0)) / BLOCK_BYTES), F.lit(1)).alias("w_in"))
     rows = rows.join(weights, "key")
-    n_out = F.greatest(F.ceil(F.sqrt("outside") / 8), F.col("w_out")).cast("int")
-    n_in = F.greatest(F.ceil(F.col("inside") / 256), F.col("w_in")).cast("int")
+    n_out = F.greatest(F.ceil(F.sqrt("outside") / 32), F.col("w_out")).cast("int")
+    n_in = F.greatest(F.ceil(F.col("inside") / 1024), F.col("w_in")).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("outsider"), n_out).otherwise(n_in)).cast("int")
     rows = rows.withColumns({"n_out": n_out, "n_in": n_in}).withColumn("block", block)
     cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -287,12 +288,13 @@ def cells(rows: DataFrame, sets: DataFrame, size: str) -> DataFrame:
     from_in = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda j: cell(j, -1 - F.col("block")))
     none = F.array().cast("array<struct<x:int,y:int>>")
     of = F.when(F.col("outsider"), F.concat(F.coalesce(to_out, none), to_in)).otherwise(from_in)
+    of = F.when((F.col("n_out") == 1) & (F.col("n_in") == 1), F.array(cell(F.lit(-1), F.lit(-1)))).otherwise(of)
     rows = rows.withColumn("cell", F.explode(of)).select("key", "cell.x", "cell.y", "doc_id", "label", "outsider", "block", *[c for c in sets.columns if c != "doc_id"])
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Members, Members, bool]]:
-    """key, two blocks of a cell, and whether they are one, for cells that come in runs."""
+    """key, two blocks, and whether they are one, for cells that come in runs."""
     pending: list[pa.RecordBatch] = []
 
     def cell():
@@ -306,12 +308,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Members, M
             at = np.flatnonzero(which)
             return Members(doc[at], n[at], label[at], [parities[i] for i in at.tolist()], [held[i] for i in at.tolist()] if held else None)
 
-        if y < 0:
-            return key, members(outsider), members(~outsider), False
-        if x == y:
-            whole = members(outsider)
-            return key, whole, whole, True
-        return key, members(block == x), members(block == y), False
+        if y >= 0:
+            one = members(block == x)
+            return [(key, one, one, True) if x == y else (key, one, members(block == y), False)]
+        one, more = members(outsider), int(x == -1 and outsider.sum() > 1)
+        return [(key, one, members(~outsider), False)] + [(key, one, one, True)] * more
 
     last = None
     for batch in batches:
@@ -323,12 +324,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Members, M
             this = tuple(of[:, a].tolist())
             if this != last and pending:
                 if sum(x.num_rows for x in pending) > 1:
-                    yield cell()
+                    yield from cell()
                 pending.clear()
             last = this
             pending.append(batch.slice(a, b - a))
     if sum(x.num_rows for x in pending) > 1:
-        yield cell()
+        yield from cell()
 
 
 def forests(rows: DataFrame) -> DataFrame:
