@@ -26,3 +26,30 @@ def test_centres_draw_from_the_whole_table(spark):
     c = le.learned_centres(d, 4, batch=50, steps=12, every=5)
     left, right = (np.array([r[k] for r in rows]) for k in (0, 1))
     assert abs(le.whole_loss(d, c, 100.0) - le.information_loss(le.soft_counts(c, left, right, 100.0))) < 1e-9
+
+
+def test_communities_beyond_the_sample(spark):
+    """Two cliques joined by one weak edge: every node of a clique has one cluster, sampled or not."""
+    edges = [(a, b, 0.9) for h in (0, 20) for a in range(h, h + 20) for b in range(a + 1, h + 20)] + [(0, 20, 0.1)]
+    graph = spark.createDataFrame(edges, "a long, b long, sim double")
+    nodes = spark.createDataFrame([(i,) for i in [*range(40), 99]], "id long")
+    for most in (100, 24):
+        got = {r.id: r.cluster for r in le.graph_communities(graph, nodes, [1.0], most).collect()}
+        assert set(got) == {*range(40), 99}
+        assert len({got[i] for i in range(20)}) == 1 and len({got[i] for i in range(20, 40)}) == 1 and got[0] != got[20]
+
+
+def test_similar_pairs_by_brute_force(spark):
+    from motifgrid.operators import vectors as vo
+
+    r = np.random.default_rng(5)
+    made = [(int(i), int(i % 2), [float(x) for x in v]) for i, v in enumerate(r.gamma(1.0, size=(90, 6)))] + [(200, 0, [0.0] * 6), (201, 1, [1.0] * 6), (202, 1, [1.0] * 6)]
+    d = spark.createDataFrame(made, "id long, g int, vec array<double>")
+    for group in (None, "g"):
+        want = {
+            (a, b): np.minimum(v, w).sum() / np.maximum(v, w).sum()
+            for a, g, v in made for b, h, w in made if a < b and (group is None or g == h) and sum(v) and sum(w) and np.minimum(v, w).sum() / np.maximum(v, w).sum() >= 0.6
+        }
+        rows = vo.similar_pairs(d, 0.6, group).collect()
+        got = {(x.a, x.b): x.sim for x in rows}
+        assert len(rows) == len(got) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
