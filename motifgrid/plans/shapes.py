@@ -374,6 +374,41 @@ def search_hits(spark, d):
     return al.search(queries, p, [_matrix(spark, d), _second(spark, d)], weights=[0.5, 0.5], open_=-4.0, extend=-1.0)
 
 
+def _counted(spark, d):
+    """prot_id, letters (counts of the letters up to two places away, and one off the map), coords."""
+    p = _folded(spark, d).withColumn("l", F.col("letters")[0])
+    near = lambda i: F.slice("l", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 3)
+    counts = lambda i: F.transform(F.sequence(F.lit(0), F.lit(LETTERS)), lambda k: F.when(k == LETTERS, 1.0).otherwise(F.size(F.filter(near(i), lambda x: x == k)).cast("double")))
+    return p.select("prot_id", F.transform("l", lambda _, i: counts(i)).alias("letters"), "coords")
+
+
+def _blur(spark, d) -> np.ndarray:
+    """Transitions between aligned letters; the place off the map stays."""
+    edges = aligned(spark, d).select(F.col("a").alias("bin1"), F.col("b").alias("bin2"))
+    pairs, _ = ct.edge_bins(edges, LETTERS)
+    out = np.eye(LETTERS + 1)
+    for r in ct.transitions(pairs).collect():  # the square of the letters and one
+        out[r.a, r.b] = r.p
+    return out
+
+
+#: A score for each hundredth of the similarity.
+_JACCARD_SCORES = np.arange(1, 101) / 10 - 7
+
+
+@query()
+def blurry_search(spark, d):
+    """Hits by count vectors that the transition matrix blurs."""
+    p = _counted(spark, d)
+    return al.search(p.filter("prot_id % 20 = 0").select("prot_id"), p, [_blur(spark, d)], karlins=[(0.497953, 0.203836)], open_=-4.0, extend=-1.0, scores=_JACCARD_SCORES)
+
+
+@query()
+def blurry_grid(spark, d):
+    pairs = al.with_proteins(_pairs(spark, d), _counted(spark, d))
+    return al.grid_search(pairs, [_blur(spark, d)], [-6.0, -4.0], [-1.5, -0.5], scores=_JACCARD_SCORES)
+
+
 @query()
 def grid_align(spark, d):
     pairs = al.with_proteins(_pairs(spark, d), _folded(spark, d))
