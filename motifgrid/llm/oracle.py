@@ -108,4 +108,36 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component
 FROM sets LEFT JOIN roots USING (k)
 """
 
-ORACLE = {"op3_line_quality": OP3, "op5_bit_sliced_topk": OP5, "op6_warc_normaliser": OP6, "op7_minhash_dedup": OP7}
+def op12(k: int = 40, rounds: int = 5, dims: int = 64, seed: str = "2") -> str:
+    """An assignment and an update for each round, then one more assignment; integers below 2^53, so inner products of doubles are exact."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), centroids0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {k}
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""apart{i} AS (
+    SELECT r, c, list_inner_product(kept.v::DOUBLE[], kept.v::DOUBLE[])::BIGINT + list_inner_product(m.v::DOUBLE[], m.v::DOUBLE[])::BIGINT
+        - 2 * list_inner_product(kept.v::DOUBLE[], m.v::DOUBLE[])::BIGINT AS d FROM kept, centroids{i} m
+), own{i} AS MATERIALIZED (
+    SELECT r, c, d FROM apart{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)""")
+        if i < rounds:
+            steps.append(f"""centroids{i + 1} AS MATERIALIZED (
+    SELECT m.c, coalesce(new.v, m.v) AS v FROM centroids{i} m LEFT JOIN (
+        SELECT c, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+            SELECT c, i, sum(x)::HUGEINT AS total, count(*)::HUGEINT AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM own{i} JOIN kept USING (r)) GROUP BY c, i
+        ) GROUP BY c
+    ) new USING (c)
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, o.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY o.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+    sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM own{rounds} o JOIN kept USING (r) JOIN centroids{rounds} m ON o.c = m.c
+"""
+
+
+ORACLE = {"op12_drake_clustering": op12(), "op3_line_quality": OP3, "op5_bit_sliced_topk": OP5, "op6_warc_normaliser": OP6, "op7_minhash_dedup": OP7}

@@ -80,7 +80,7 @@ class UnitEncoder:
         return out
 
 
-_OPEN: dict[tuple, UnitEncoder] = {}
+_OPEN: dict[tuple, UnitEncoder | WordEncoder] = {}
 
 
 def _single(spec: dict) -> Callable[[list[str]], list[bytes]] | None:
@@ -114,7 +114,10 @@ def _single(spec: dict) -> Callable[[list[str]], list[bytes]] | None:
 
 
 def library_encoder(path: str) -> UnitEncoder:
-    """The worker's encoder for a vocabulary file of the tokenizers library."""
+    """The worker's encoder for a vocabulary file of the tokenizers library.
+
+    Strings of special tokens in a text are ordinary text, as the vocabularies' description reads them.
+    """
     if (path,) not in _OPEN:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -131,3 +134,88 @@ def library_encoder(path: str) -> UnitEncoder:
 
         _OPEN[(path,)] = UnitEncoder(backend, cuts, single=_single(spec) if cuts else None)
     return _OPEN[(path,)]
+
+
+class WordEncoder:
+    """encode(texts) gives the ids of each text (UTF-8) as little-endian unsigned 32-bit integers.
+
+    letters: no token of the vocabulary reaches over white space, so words between ASCII white space are encoded apart,
+    and ids of frequent ones are kept in a table of bounded size; marks behind letters are a match of their own, and `letters` encodes
+    lower-cased letters. backend encodes texts, or words, one by one.
+    """
+
+    def __init__(self, backend: Callable[[list[str]], list[bytes]], letters: Callable[[list[str]], list[bytes]] | None, kept: int = UNITS_KEPT):
+        self.backend, self.letters, self.kept = backend, letters, kept
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _learn(self, new: list[bytes]) -> None:
+        split, odd, parts, known = [], [], self.parts, self.words
+        for k in new:
+            if m := _LETTERS_MARKS(k.decode()):
+                split.append((k, m[1].lower(), m[2]))
+            else:
+                odd.append(k)
+        if len(parts) > self.kept:
+            parts.clear()
+            parts[""] = b""
+        for encode, at in ((self.letters, 1), (self.backend, 2)):
+            some = [*{x[at] for x in split}.difference(parts)]
+            parts.update(zip(some, encode(some), strict=True))
+        known.update((k, parts[a] + parts[b]) for k, a, b in split)
+        known.update(zip(odd, self.backend([k.decode() for k in odd]), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.letters:
+            return self.backend([x.decode() for x in texts])
+        known, words = self.words, [x.split() for x in texts]
+        room = self.kept - len(known)
+        new = [*set().union(*words).difference(known)]
+        self._learn(new)
+        of = known.__getitem__
+        out = [b"".join(map(of, x)) for x in words]
+        for k in new[max(0, room) :]:
+            del known[k]
+        return out
+
+
+#: Letters of one case mapping and no decomposition in every version of Unicode, then marks that no contraction holds.
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Steps of a normaliser that change no character by what stands beyond white space, and a pattern whose matches hold none.
+_APART_STEPS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+_APART_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder for a vocabulary file of the tokenizers library; by words where its normaliser and pattern leave them apart.
+
+    Strings of special tokens in a text are ordinary text, as the vocabularies' description reads them.
+    """
+    if ("words", path) not in _OPEN:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        held = Tokenizer.from_file(path)
+        held.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps, splits = ((spec.get(k) or {}).get(name) or [] for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        suffix = spec["model"].get("end_of_word_suffix")
+        apart = suffix and splits[:1] == [_APART_SPLIT] and splits[1:] and all(x in _APART_STEPS for x in steps)
+        single = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": splits[1]})) if apart else None
+        last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        last[[i for k, i in spec["model"]["vocab"].items() if suffix and k.endswith(suffix)]] = True
+
+        def letters(words: list[str]) -> list[bytes]:
+            out: list[bytes] = []
+            for at in range(0, len(words), 4096):
+                ids = np.array(single.encode_batch_fast([words[at : at + 4096]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+                data, ends = ids.tobytes(), (np.flatnonzero(last[ids]) * 4 + 4).tolist()  # a word's last token has the suffix, and no other
+                out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            return out
+
+        def backend(texts: list[str]) -> list[bytes]:
+            return [array("I", x.ids).tobytes() for x in held.encode_batch_fast(texts, add_special_tokens=False)]
+
+        _OPEN["words", path] = WordEncoder(backend, letters if apart else None)
+    return _OPEN["words", path]
