@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from .quality import LEAST_WORDS, MOST_LOST, MOST_REPEATED, PHRASE_SHARE, PHRASES, SHORT_WORDS, WINDOW
+from .quality import LEAST_WORDS, MOST_LOST, MOST_REPEATED, NOT_LETTERS, SHORT_WORDS, SIGNS, STOCK, STOCK_PERCENT, WINDOW
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_PHRASES = " + ".join(f"if(contains(lower(line), '{p}'), {len(p)}, 0)" for p in PHRASES)
 
 OP3 = rf"""
 WITH docs AS (
@@ -31,11 +30,13 @@ WITH docs AS (
 ), counted AS (
     SELECT r, line, length(line) - length(replace(line, '|', '')) AS pipes, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
         len(regexp_extract_all(line, '[!?]{{2,}}')) AS shouts, len(regexp_extract_all(line, '{_WORD}')) AS words, coalesce(n, 0) AS stutters,
-        length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars
+        length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars, len(regexp_extract_all(line, '{SIGNS}')) AS signs,
+        ' ' || regexp_replace(lower(line), '{NOT_LETTERS}', '  ', 'g') || ' ' AS stripped, len(regexp_extract_all(stripped, '[^ ]+')) AS plain,
+        len(regexp_extract_all(regexp_replace(stripped, '{STOCK}', ' ', 'g'), '[^ ]+')) AS left_
     FROM lines LEFT JOIN stuttered USING (k)
 ), judged AS (
     SELECT *, (pipes >= 2 AND pipes * 4 >= words) OR symbols * 5 > words * 2 OR shouts * 4 > words OR stutters * 4 > words
-        OR ({_PHRASES}) * {PHRASE_SHARE} >= length(line)
+        OR (plain > left_ AND (plain - left_ + signs) * 100 >= (plain + signs) * {STOCK_PERCENT})
         OR (words < {SHORT_WORDS} AND NOT regexp_matches(line, '[.!?…:;"''”’)\]][\x20\x09-\x0D]*$')) AS bad
     FROM counted
 ), by_text AS (

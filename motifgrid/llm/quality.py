@@ -2,8 +2,8 @@
 
 Each line that holds a word is judged alone: navigation (many separators for its words), symbols,
 shouting (runs of marks), stutter (words equal
-to the one before), boilerplate (stock phrases hold a twentieth of the line or more) and punctuation (a short line without an end mark). Failing lines
-are removed. A document is rejected if the removed lines held more than MOST_LOST of its characters in
+to the one before), boilerplate (stock phrases and navigation signs are half of the line's words or more) and punctuation (a short line without an end mark). Failing lines
+are removed. Stock phrases are whole words of the lower-cased line, without its marks; each word counts once. A document is rejected if the removed lines held more than MOST_LOST of its characters in
 words, or if it fails the base rules (fewer than 20 words, or over 30 % of the words in 8-word windows
 that occur twice or more).
 
@@ -25,15 +25,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 STUTTER = r"(?<![^\x20])([^\x20\x09-\x0D]++)\x20\1(?![^\x20\x09-\x0D])"
 ENDS = r"""[.!?…:;"'”’)\]][\x20\x09-\x0D]*$"""
-PHRASES = ("all rights reserved", "cookie", "javascript", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign up", "log in", "subscribe", "lorem ipsum", "licensed under", "share this", "skip to content")
+PHRASES = (
+    "subscribe to our newsletter", "this work is licensed under the", "this site uses cookies", "licensed under cc by", "licensed under the", "released under the", "accept all cookies",
+    "gnu general public license", "all rights reserved", "terms and conditions", "terms of service", "skip to content", "we use cookies", "enable javascript", "cookie policy", "privacy policy",
+    "creative commons", "apache license", "terms of use", "licensed under", "released under", "subscribe now", "previous page", "mit license", "back to top", "contact us", "lorem ipsum", "share this",
+    "click here", "learn more", "follow us", "next page", "read more", "about us", "log out", "sign up", "sign in", "site map", "log in",
+)
+NOT_LETTERS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+STOCK = f" (?:{'|'.join(PHRASES).replace(' ', '  ')}) "
+SIGNS = "[|»›→•]"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-PHRASE_SHARE, SHORT_WORDS, MOST_LOST = 20, 4, 0.5
+STOCK_PERCENT, SHORT_WORDS, MOST_LOST = 50, 4, 0.5
 
 
 def _line(x):
     return F.struct(
         x.alias("line"),
-        F.lower(x).alias("low"),
+        F.concat(F.lit(" "), F.regexp_replace(F.lower(x), NOT_LETTERS, "  "), F.lit(" ")).alias("plain"),
         F.regexp_count(x, F.lit(SYMBOLS)).alias("symbols"),
         F.regexp_count(x, F.lit(r"[!?]{2,}")).alias("shouts"),
         F.regexp_count(x, F.lit(WORD)).alias("words"),
@@ -48,10 +56,9 @@ def _fails(x):
     symbols = x["symbols"] * 5 > words * 2
     shouts = x["shouts"] * 4 > words
     stutters = x["stutters"] * 4 > words
-    phrases = F.lit(0)
-    for p in PHRASES:
-        phrases = phrases + F.when(x["low"].contains(p), len(p)).otherwise(0)
-    boilerplate = phrases * PHRASE_SHARE >= F.length(line)
+    left, signs = F.regexp_count(F.regexp_replace(x["plain"], STOCK, " "), F.lit("[^ ]+")), F.regexp_count(line, F.lit(SIGNS))
+    plain = F.regexp_count(x["plain"], F.lit("[^ ]+"))
+    boilerplate = (plain > left) & ((plain - left + signs) * 100 >= (plain + signs) * STOCK_PERCENT)
     unfinished = (words < SHORT_WORDS) & ~line.rlike(ENDS)
     return navigation | symbols | shouts | stutters | boilerplate | unfinished
 
@@ -90,10 +97,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and lost_chars."""
     d = measures(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")))
+    # a column that isn't deterministic keeps filters above the projections, which would be copied into them
     return d.select(
         "doc_id", F.col("__n").cast("long").alias("n_words"), F.col("__chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"),
         F.col("__dup").alias("n_dup_lines"), F.col("__repeated").alias("n_repeat_words"), F.col("__failed").alias("base_failed"),
-        F.col("__kept").alias("kept"), F.col("__lost").alias("lost_chars"),
+        F.when(F.monotonically_increasing_id() >= 0, F.col("__kept")).alias("kept"), F.col("__lost").alias("lost_chars"),
     )
 
 

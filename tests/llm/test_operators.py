@@ -127,6 +127,28 @@ def test_pii_frames(spark, docs, empty, rows):
     assert pii.spans(empty).count() == 0 and pii.redacted(empty).columns == docs.columns
 
 
+def test_boilerplate_is_a_line_of_stock_phrases(spark):
+    prose = [
+        "The catalog in this hall holds many old maps and charts.",
+        "A word about the spread more than twenty other words follow here, and none of them is on its own.",
+        "Please subscribe to the idea that every old map in this hall was drawn by people who had walked the whole way, and read more than we do.",
+        "They sign up for the long walk, log in hand, and learn more about us than we ever told the others who came.",
+    ]
+    stock = ["Read more", "Sign up | Log in", "All rights reserved.", "This work is licensed under the GNU General Public License, version 3.", "Privacy Policy - Terms of Use - Contact us!", "© 2020 All rights reserved."]
+    rest = "Every other line of this text is plain prose that nobody would want to lose, and it goes on for a while before it ends."
+    for lines, bad in ((prose, False), (stock, True)):
+        d = spark.createDataFrame([(i, f"{rest}\n{x}\n{rest[::-1].capitalize()}.") for i, x in enumerate(lines)], "doc_id long, text string")
+        got = {r.doc_id: r.lost_chars for r in quality.measured(d).collect()}
+        assert got == {i: len(re.sub(r"[\x20\x09-\x0D]", "", x)) if bad else 0 for i, x in enumerate(lines)}
+
+
+def test_clean_documents_are_left_alone(spark):
+    d = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
+    got = quality.measured(spark.read.parquet(f"{d}/documents.parquet")).join(clean, "doc_id").filter("not base_failed").select("kept").collect()
+    assert len(got) > 200 and sum(r.kept for r in got) >= 0.99 * len(got)
+
+
 def test_quality(spark, docs, rows, empty):
     extra = [(900, "a b c d e f g h i j " * 4, None, None), (901, "word | nav | link | home | x | y\n" * 3 + " ".join(f"w{i}" for i in range(30)) + ".", None, None), (902, ("Plain words stand in this line and they end well enough here now. " * 1).strip() + "\nclick here\nA second line with ten other words closes the whole text here too.", None, None)]
     d = docs.unionByName(spark.createDataFrame([(*x, 0, "i", "p", "s", "t", "l") for x in extra], DOC))

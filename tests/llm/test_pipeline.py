@@ -72,6 +72,19 @@ def test_dedup_of_odd_rows(spark, odd):
         assert sum(kept[m] for m in set(members)) == 1 or members[0][1] in (None, "")
 
 
+def test_dedup_when_splits_change(spark):
+    """A table that is read with other splits than it was when the stage was built gives the same rows."""
+    docs = written(spark.read.parquet(f"{DATA}/documents.parquet").repartition(3), "splits")
+    want, kept = len({*components({r.doc_id: minhash_words((r.text or "").lower()) or {r.text or r.doc_id} for r in docs.collect()}).values()}), "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(kept, "1")
+        out = c.dedup_stage(spark, docs, DATA)
+        spark.conf.set(kept, "3")
+        assert out.count() == out.select("doc_id").distinct().count() == want
+    finally:
+        spark.conf.unset(kept)
+
+
 def test_other_stages_on_odd_rows(spark, odd):
     docs, rows = odd
     want = Counter((x[0], x[1]) for x in rows)
