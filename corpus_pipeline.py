@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, quality rules, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of documents, and all but the last
-return these columns. `run` writes a stage's rows to the shared folder and reads them again for the next.
+return these columns. `run` writes a stage's rows to the shared folder and reads them again for the next, then removes what the stage has read there.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifgrid.llm import language, minhash, packing, pii, quality
-from motifgrid.llm.common import fresh, written
+from motifgrid.llm.common import fresh, removed, written
 
 #: Documents whose language is less sure than this go.
 LEAST_SCORE = 0.5
@@ -32,12 +32,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, the first of the table: rows are told apart by their place in it, so a repeated doc_id doesn't matter.
+    """One row of each group stays, the first of the table, so a repeated doc_id doesn't matter.
 
-    docs must give the same rows in the same partitions each time it is read, as a written table does.
+    Rows are numbered once, in a written table that all steps read: how docs is split when it is read again changes nothing.
     """
     row = fresh(docs.columns, "row")
-    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    placed = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     kept = minhash.near_duplicates(placed.select(F.col(row).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias(row))
     return placed.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
@@ -67,5 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        docs = written(made, f"pipeline-{name}")
+        removed(made)  # tables of the shared folder that only this stage read
     return STAGES[-1][1](spark, docs, sf_dir)
