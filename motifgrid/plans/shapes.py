@@ -311,7 +311,7 @@ def _similarity(spark, d, m):
     return one.join(two, "pair").join(F.broadcast(m), ["a", "b"])  # an alphabet's square
 
 
-@query(f"WITH {B} SELECT x.prot_id // 2 AS pair, x.pos AS i, y.pos AS j, round(0.6 * S.score + 0.4 * CASE WHEN floor(x.value / 25) = floor(y.value / 25) THEN 3 ELSE -1 END, 6) AS score FROM L x JOIN L y ON y.prot_id = x.prot_id + 1 JOIN S ON S.a = x.letter AND S.b = y.letter WHERE x.prot_id % 2 = 0")
+@query(f"WITH {B} SELECT x.prot_id // 2 AS pair, x.pos AS i, y.pos AS j, round(0.6::DOUBLE * S.score + 0.4::DOUBLE * CASE WHEN floor(x.value / 25) = floor(y.value / 25) THEN 3 ELSE -1 END, 6) AS score FROM L x JOIN L y ON y.prot_id = x.prot_id + 1 JOIN S ON S.a = x.letter AND S.b = y.letter WHERE x.prot_id % 2 = 0")
 def combo_similarity(spark, d):
     m = ct.substitution_scores(ct.pair_counts(aligned(spark, d)), LETTERS)
     second = F.when(F.floor(F.col("va") / 25) == F.floor(F.col("vb") / 25), 3).otherwise(-1)
