@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import parent
+from .ordering import concordant_share, exact_medians, joined_groups
+
 
 def everything():
     """A window over all rows, for one row a parameter, method or class only."""
@@ -26,20 +28,20 @@ def ranked(hits: DataFrame, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order)))
 
 
-def first_false_positive(hits: DataFrame, classes: DataFrame) -> DataFrame:
+def first_false_positive(hits: DataFrame, classes: DataFrame, place: Column | None = None) -> DataFrame:
     """Per query: shares of family, superfamily and fold members ranked before the first false positive.
 
-    hits has query, target, rank. Hits of an unknown query are ignored, an unknown target is false,
+    hits has query, target, and rank or what `place` is made of: a column, maybe a struct, that orders a query's hits. Hits of an unknown query are ignored, an unknown target is false,
     a query's own hit is skipped. Queries without other members at each level are left out.
     """
     sized = class_sizes(classes)
     q = sized.select(F.col("prot_id").alias("query"), *[F.col(k).alias(f"q_{k}") for k in ("fam", "sfam", "fold")])
     t = sized.select(F.col("prot_id").alias("target"), "fam", "sfam", "fold")
-    d = hits.join(q, "query").join(t, "target", "left")
+    d = hits.withColumn("__place", F.col("rank") if place is None else place).join(q, "query").join(t, "target", "left")
     false = (F.col("query") != F.col("target")) & (F.col("fold").isNull() | (F.col("fold") != F.col("q_fold")))
-    # the first false rank is a partial minimum, so that a query with many hits needs no window
-    cut = d.groupBy("query").agg(F.min(F.when(false, F.col("rank"))).alias("cut"))
-    d = d.filter("query <> target").join(cut, "query").filter(F.col("cut").isNull() | (F.col("rank") < F.col("cut")))
+    # the first false place is a partial minimum, so that a query with many hits needs no window, nor any ranks
+    cut = d.groupBy("query").agg(F.min(F.when(false, F.col("__place"))).alias("cut"))
+    d = d.filter("query <> target").join(cut, "query").filter(F.col("cut").isNull() | (F.col("__place") < F.col("cut")))
     fam, sfam = F.col("fam") == F.col("q_fam"), F.col("sfam") == F.col("q_sfam")
     n = d.groupBy("query").agg(F.count_if(fam).alias("fam_hits"), F.count_if(~fam & sfam).alias("sfam_hits"), F.count_if(~fam & ~sfam).alias("fold_hits"))
     able = sized.filter("fam_n > 1 and sfam_n > fam_n and fold_n > sfam_n").withColumnRenamed("prot_id", "query")
@@ -66,10 +68,13 @@ def precision_recall(hits: DataFrame, classes: DataFrame, thresholds: list[float
     d = hits.join(c.select(F.col("prot_id").alias("query"), F.col("fam").alias("q_fam"), F.col("fold").alias("q_fold")), "query")
     d = d.join(c.select(F.col("prot_id").alias("target"), "fam", "fold"), "target")
     same, other = F.col("fam") == F.col("q_fam"), F.col("fold") != F.col("q_fold")
-    # conditional sums for all thresholds in one pass over the hits
-    sums = [F.count_if(same).alias("all")]
+    # hits are counted by the number of thresholds that they pass; the sums for each threshold run over these few rows of a query
+    passed = sum((F.col("score") > t).cast("int") for t in sorted(thresholds))
+    d = d.groupBy("query", F.coalesce(passed, F.lit(0)).alias("passed")).agg(F.count_if(same).alias("tp"), F.count_if(other & (F.col("score") > least)).alias("fp"))
+    sums = [F.sum("tp").alias("all")]
     for i, t in enumerate(thresholds):
-        sums += [F.count_if(same & (F.col("score") > t)).alias(f"tp{i}"), F.count_if(other & (F.col("score") > t) & (F.col("score") > least)).alias(f"fp{i}")]
+        over = F.col("passed") > sorted(thresholds).index(t)
+        sums += [F.sum(F.when(over, F.col("tp")).otherwise(0)).alias(f"tp{i}"), F.sum(F.when(over, F.col("fp")).otherwise(0)).alias(f"fp{i}")]
     d = d.groupBy("query").agg(*sums)
     made = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp")) for i, t in enumerate(thresholds)])
     d = d.select("all", F.explode(made).alias("x")).select("all", "x.*")
@@ -99,15 +104,21 @@ def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
 
 
 def concordance(rows: DataFrame) -> DataFrame:
-    """share of the pairs of rows (id, x, y) that x and y order alike."""
-    a, b = rows.select(*[F.col(k).alias(f"a_{k}") for k in ("id", "x", "y")]), rows.select(*[F.col(k).alias(f"b_{k}") for k in ("id", "x", "y")])
-    same = F.signum(F.col("a_x") - F.col("b_x")) == F.signum(F.col("a_y") - F.col("b_y"))
-    return a.join(b, F.col("a_id") < F.col("b_id")).agg(F.avg(same.cast("int")).alias("share"))
+    """share of the pairs of rows (id, x, y) that x and y order alike, by counting inversions."""
+    return concordant_share(rows)
 
 
 def metrics(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Mean, median and population deviation by parameter."""
-    return rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"))
+    """Mean, exact median and population deviation by parameter."""
+    plain = rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return joined_groups(plain, exact_medians(rows, group, value), group).select(*group, "mean", "median", "std")
+
+
+def best_of(rows: DataFrame, metrics_: list[str], *ties: str) -> DataFrame:
+    """metric, ties and value: for each metric the row with its largest value, in one pass; ties go to the least of `ties`."""
+    held = [F.min_by(F.struct(*ties, F.col(m).cast("double").alias("value")), F.struct(F.col(m).isNull(), -F.col(m).cast("double"), *ties)).alias(m) for m in metrics_]
+    one = rows.agg(*held).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}.{k}").alias(k) for k in (*ties, "value")]) for m in metrics_])).alias("x"))
+    return one.select("x.*")
 
 
 def best(rows: DataFrame, metric: str, *ties: str) -> DataFrame:

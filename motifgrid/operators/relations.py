@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import placed, placed_within
+
 #: Names that are never used.
 BAD_NAMES = ("d1e25a_", "d1o7d.2", "d1o7d.3")
 
@@ -47,8 +49,13 @@ def key_differences(one: DataFrame, two: DataFrame) -> DataFrame:
 
 def chunks(names: DataFrame, order: str, size: int = 10, group: str | None = None) -> DataFrame:
     """names with chunk: `size` names each, in order (within the group, else of all names: a name list)."""
-    w = W.partitionBy(group) if group else W.partitionBy()
-    return names.withColumn("chunk", F.floor((F.row_number().over(w.orderBy(order)) - 1) / size).cast("int"))
+    d = placed_within(names, [group], order) if group else placed(names, order)
+    return d.withColumn("chunk", F.floor(F.col("place") / size).cast("int")).drop("place")
+
+
+def length_order(proteins: DataFrame) -> DataFrame:
+    """Proteins (prot_id, len) with their place (from 1) in the order of length, then name."""
+    return placed(proteins, "len", "prot_id").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def neighbours(residues: DataFrame, most: Column, apart: int = 5) -> DataFrame:

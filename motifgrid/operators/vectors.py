@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import total, weighted_jaccard
+from .ordering import exact_medians
 
 
 #: Vectors of a block have about this many rows for each root of all vectors.
@@ -64,7 +65,7 @@ def neighbour_graph(pairs: DataFrame, k: int) -> DataFrame:
 
 def cluster_median(vectors: DataFrame) -> DataFrame:
     """cluster, dim, median of vectors (cluster, vec)."""
-    return vectors.select("cluster", F.posexplode("vec").alias("dim", "x")).groupBy("cluster", "dim").agg(F.median("x").alias("median"))
+    return exact_medians(vectors.select("cluster", F.posexplode("vec").alias("dim", "x")), ["cluster", "dim"], "x")
 
 
 def cluster_medoid(vectors: DataFrame) -> DataFrame:

@@ -93,14 +93,19 @@ def queries_of(fam: DataFrame) -> DataFrame:
     return fam.filter("prot_id % 20 = 0").select("prot_id", "value")
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    """query, target, score, rank: all customers for each query, by the difference of their balances."""
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """query, target, score, gap: all customers for each query, by the difference of their balances."""
     fam = families(spark, d)
     q = queries_of(fam).select(F.col("prot_id").alias("query"), F.col("value").alias("qv"))
     d_ = fam.select(F.col("prot_id").alias("target"), "value").crossJoin(q)  # the query set grows with the table: Spark checks its size
     gap = F.abs(F.col("value") - F.col("qv"))
-    rank = F.row_number().over(W.partitionBy("query").orderBy(gap, "target"))
-    return d_.select("query", "target", (100 - gap / 100).alias("score"), rank.alias("rank"))
+    return d_.select("query", "target", (100 - gap / 100).alias("score"), gap.alias("gap"))
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    """query, target, score, rank of the scored customers."""
+    rank = F.row_number().over(W.partitionBy("query").orderBy("gap", "target"))
+    return scored(spark, d).select("query", "target", "score", rank.alias("rank"))
 
 
 HITS = FAM + """, Q AS (SELECT prot_id AS query FROM F WHERE prot_id % 20 = 0),

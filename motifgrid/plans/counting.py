@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as sq
 from ..operators import counts as ct
 from ..operators import ranking as rk
-from .base import B, FAM, G, HITS, L, LETTERS, P, PT, aligned, families, hits, letters, points, query, r6, read
+from .base import aligned, families, hits, letters, points, query, r6, read, scored, B, FAM, G, HITS, L, LETTERS, P, PT
 from ..functions import geometry as ge
 
 
@@ -17,7 +17,7 @@ from ..functions import geometry as ge
        "N AS (SELECT query, sum(CASE WHEN bad = 0 AND fam = qf THEN 1 ELSE 0 END) AS f, sum(CASE WHEN bad = 0 AND fam <> qf AND sfam = qs THEN 1 ELSE 0 END) AS s, sum(CASE WHEN bad = 0 AND sfam <> qs AND fold = qd THEN 1 ELSE 0 END) AS d, max(bad) AS m FROM J GROUP BY query) "
        "SELECT n.query, z.fam AS scop, round(CAST(f AS DOUBLE) / (nf - 1), 6) AS fam, round(CAST(s AS DOUBLE) / (ns - nf + 1), 6) AS sfam, round(CAST(d AS DOUBLE) / (nd - ns + 1), 6) AS fold, CAST(CASE WHEN m > 0 THEN 1 ELSE 0 END AS INTEGER) AS fp, nf AS fam_cnt, ns AS sfam_cnt, nd AS fold_cnt FROM N n JOIN Z z ON z.prot_id = n.query WHERE nf > 1 AND ns > nf AND nd > ns")
 def suttffp(spark, d):
-    x = rk.first_false_positive(hits(spark, d), families(spark, d))
+    x = rk.first_false_positive(scored(spark, d), families(spark, d), F.struct("gap", "target"))
     return x.select("query", "scop", r6("fam", "fam"), r6("sfam", "sfam"), r6("fold", "fold"), "fp", "fam_cnt", "sfam_cnt", "fold_cnt")
 
 
@@ -199,9 +199,7 @@ def geo_mean(spark, d):
 
 @query(f"WITH {_M} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS metric, open, extend, round({m}, 6) AS value FROM MT ORDER BY {m} DESC, open, extend LIMIT 1)" for m in ("mean", "median", "rho")))
 def grid_best(spark, d):
-    m = _table(spark, d)
-    out = [rk.best(m, k, "open", "extend").select(F.lit(k).alias("metric"), "open", "extend", r6(k, "value")) for k in ("mean", "median", "rho")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return rk.best_of(_table(spark, d), ["mean", "median", "rho"], "open", "extend").select("metric", "open", "extend", r6("value", "value"))
 
 
 @query(f"WITH {_M}, A AS (SELECT open, extend FROM MT ORDER BY mean DESC, open, extend LIMIT 1), Z AS (SELECT open, extend FROM MT ORDER BY rho DESC, open, extend LIMIT 1) "

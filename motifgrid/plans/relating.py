@@ -200,8 +200,7 @@ def neighbours_lag_lead(spark, d):
 
 @query(f"WITH {_PR} SELECT prot_id, len, CAST(row_number() OVER (ORDER BY len, prot_id) AS INTEGER) AS place FROM PR")
 def length_order(spark, d):
-    # a list of names, one row each, as it is written for a job
-    return _proteins(spark, d).withColumn("place", F.row_number().over(W.orderBy("len", "prot_id")))
+    return rl.length_order(_proteins(spark, d))
 
 
 _CE = P + ", CE AS (SELECT pair AS name, pos AS i, pos + CAST(floor(vb / 50) AS INTEGER) AS j FROM P WHERE a = b OR va > 40)"
