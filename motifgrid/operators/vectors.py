@@ -9,51 +9,101 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import total, weighted_jaccard
-from .ordering import exact_medians
+from ..sources.shared import written
+from .ordering import exact_medians, joined_groups
 
 
-#: Vectors of a block have about this many rows for each root of all vectors.
+#: Rows of a block have about this many rows for each root of all rows of its list.
 _SPREAD = 8
+#: Part of a bound that rounding may take.
+_SLACK = 1e-9
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.5, group: str | None = None) -> DataFrame:
-    """a < b and sim >= least of vectors (id, vec); with `group`, inside its values only.
+def _postings(d: DataFrame, least: float, keys: list[str]) -> DataFrame:
+    """keys, dim, id, t, vec of the components in each vector's prefix; dim and vec follow the order of the components, rarest first.
 
-    The similarity of two vectors is at most the ratio of their totals, so a vector can only meet those whose
-    total lies within 1 / least. Vectors are dealt into blocks, as many as a part of the root of their number; a task
-    compares a pair of blocks, ordered by total, over the window that the bound leaves, and only similar pairs leave it.
+    Similar vectors share at least the part `least` of either total in their minima. A vector's prefix ends where the components behind it hold
+    less than that, so two similar vectors have their first common component in both prefixes.
     """
-    d = vectors.withColumn("t", total(F.col("vec"))).filter("t > 0")
-    keys = [group] if group else []
-    sizes = d.groupBy(*keys).agg(F.ceil(F.sqrt(F.count("*").cast("double")) / _SPREAD).cast("int").alias("blocks"))
-    d = d.join(sizes, keys) if keys else d.crossJoin(sizes)  # one row
+    counts = d.select(F.posexplode("vec").alias("dim", "x")).filter("x > 0").groupBy("dim").agg(F.count("*").alias("n"))
+    order = np.array([r.dim for r in counts.orderBy("n", "dim").collect()], int)  # one row for each component that vectors have
+    spec = ", ".join([*[f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys], "dim int", f"id {d.schema['id'].dataType.simpleString()}", "t double", "vec array<double>"])
+
+    def run(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            v = np.stack(f["vec"].to_numpy()).astype(float)[:, order]
+            after = np.cumsum(v[:, ::-1], axis=1)[:, ::-1]  # each component and those behind it
+            row, dim = np.nonzero((v > 0) & (after >= least * f["t"].to_numpy()[:, None] * (1 - _SLACK)))
+            out = f.iloc[row].reset_index(drop=True)
+            yield out.assign(dim=dim.astype(np.int32), vec=[v[i] for i in row])[[*keys, "dim", "id", "t", "vec"]]
+
+    return d.select(*keys, "id", "t", "vec").mapInPandas(run, spec)
+
+
+def _compared(lists: DataFrame, least: float, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """The similar pairs of each list (keys, dim): a list is dealt into blocks, and a task compares a pair of blocks.
+
+    dim is -1 for a list of whole vectors; else a pair counts only in the list of its first common component.
+    """
+    at = [*keys, "dim"]
+    sizes = sizes.select(*at, F.ceil(F.sqrt(F.col("n").cast("double")) / _SPREAD).cast("int").alias("blocks"))
+    d = joined_groups(lists, sizes, at)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("x"), F.greatest(j, block).alias("y")))
-    d = d.select(*keys, "id", "vec", "t", block.alias("block"), F.explode(cells).alias("cell")).select(*keys, "id", "vec", "t", "block", "cell.x", "cell.y")
+    d = d.select(*at, "id", "vec", "t", block.alias("block"), F.explode(cells).alias("cell")).select(*at, "id", "vec", "t", "block", "cell.x", "cell.y")
     spec = ", ".join([*[f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys], "a long, b long, sim double"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "id"], kind="stable")
-        x, y = int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
+        x, y, dim = (int(frame[k].iloc[0]) for k in ("x", "y", "dim"))
         mine, other = frame[frame["block"] == x], frame[frame["block"] == y]
         v, ids, t = np.stack(other["vec"].to_numpy()).astype(float) if len(other) else None, other["id"].to_numpy(), other["t"].to_numpy()
+        held = v[:, : max(dim, 0)] > 0 if len(other) else None
         found = []
         for i, (one, vec, size) in enumerate(zip(mine["id"], mine["vec"], mine["t"], strict=True)) if len(other) else ():
-            lo, hi = np.searchsorted(t, size * least * (1 - 1e-9)), np.searchsorted(t, size / least * (1 + 1e-9), side="right")
+            lo, hi = np.searchsorted(t, size * least * (1 - _SLACK)), np.searchsorted(t, size / least * (1 + _SLACK), side="right")
             lo = max(int(lo), i + 1) if x == y else int(lo)
             if lo >= hi:
                 continue
-            vec = np.asarray(vec, float)
-            sim = np.minimum(v[lo:hi], vec).sum(axis=1) / np.maximum(v[lo:hi], vec).sum(axis=1)
-            near = np.flatnonzero(sim >= least)
-            found.append((np.minimum(ids[lo:hi][near], one), np.maximum(ids[lo:hi][near], one), sim[near]))
+            vec, at_ = np.asarray(vec, float), np.arange(lo, hi)
+            if dim > 0:
+                at_ = at_[~held[lo:hi, vec[:dim] > 0].any(axis=1)]
+            sim = np.minimum(v[at_], vec).sum(axis=1) / np.maximum(v[at_], vec).sum(axis=1)
+            at_, sim = at_[sim >= least], sim[sim >= least]
+            found.append((np.minimum(ids[at_], one), np.maximum(ids[at_], one), sim))
         made = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         out = pd.DataFrame({"a": made[0], "b": made[1], "sim": made[2]})
-        for k in keys:
+        for k in reversed(keys):
             out.insert(0, k, frame[k].iloc[0])
         return out
 
-    return d.groupBy(*keys, "x", "y").applyInPandas(run, spec)
+    return d.groupBy(*at, "x", "y").applyInPandas(run, spec)
+
+
+def similar_pairs(vectors: DataFrame, least: float = 0.5, group: str | None = None, index: bool | None = None) -> DataFrame:
+    """a < b and sim >= least (over 0) of vectors (id, vec; all of one length, without negative components); with `group`, inside its values only.
+
+    The index holds a list for each component in a vector's prefix (see `_postings`); pairs are checked exactly in the list of their first
+    common component, so none is missed and none comes twice. The similarity of two vectors is at most the ratio of their totals, so
+    inside a list a vector meets only those whose total lies within 1 / least. Only similar pairs leave a task.
+
+    index: None takes the index if its lists give fewer comparisons than all pairs of (a group of) vectors would, which is so where
+    components are sparse; the rows are the same either way. The lists are counted, not cut.
+    """
+    d = vectors.withColumn("t", total(F.col("vec"))).filter("t > 0")
+    keys = [group] if group else []
+    if index is not False:
+        lists = _postings(d, least, keys)
+        sizes = written(lists.groupBy(*keys, "dim").agg(F.count("*").alias("n")), "list-sizes")  # one row for each component and group
+        if index is None:
+            square = F.coalesce(F.sum(F.col("n").cast("double") ** 2), F.lit(0.0)).alias("n")
+            index = sizes.agg(square).first().n < d.groupBy(*keys).agg(F.count("*").alias("n")).agg(square).first().n
+        if index:
+            return _compared(lists, least, keys, sizes)
+    whole = d.withColumn("dim", F.lit(-1))
+    return _compared(whole, least, keys, whole.groupBy(*keys, "dim").agg(F.count("*").alias("n")))
 
 
 def neighbour_graph(pairs: DataFrame, k: int) -> DataFrame:

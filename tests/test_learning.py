@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from motifgrid.operators import learning as le
 
@@ -40,16 +41,42 @@ def test_communities_beyond_the_sample(spark):
 
 
 def test_similar_pairs_by_brute_force(spark):
+    """With and without the index, on dense and sparse vectors, equal ones, and one component that most have."""
     from motifgrid.operators import vectors as vo
 
     r = np.random.default_rng(5)
-    made = [(int(i), int(i % 2), [float(x) for x in v]) for i, v in enumerate(r.gamma(1.0, size=(90, 6)))] + [(200, 0, [0.0] * 6), (201, 1, [1.0] * 6), (202, 1, [1.0] * 6)]
-    d = spark.createDataFrame(made, "id long, g int, vec array<double>")
-    for group in (None, "g"):
-        want = {
-            (a, b): np.minimum(v, w).sum() / np.maximum(v, w).sum()
-            for a, g, v in made for b, h, w in made if a < b and (group is None or g == h) and sum(v) and sum(w) and np.minimum(v, w).sum() / np.maximum(v, w).sum() >= 0.6
-        }
-        rows = vo.similar_pairs(d, 0.6, group).collect()
-        got = {(x.a, x.b): x.sim for x in rows}
-        assert len(rows) == len(got) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    dense = r.gamma(1.0, size=(90, 6))
+    sparse = np.where(r.random((160, 40)) < 0.12, r.integers(1, 4, (160, 40)), 0).astype(float)
+    sparse[:, 3] = np.where(r.random(160) < 0.8, 1.0, 0.0)
+    sparse[100:120] = sparse[99]
+    sparse[100:120, 7] += r.integers(0, 2, 20)
+    for vecs, least in ((dense, 0.6), (sparse, 0.45)):
+        n = vecs.shape[1]
+        made = [(int(i), int(i % 2), [float(x) for x in v]) for i, v in enumerate(vecs)] + [(200, 0, [0.0] * n), (201, 1, [1.0] * n), (202, 1, [1.0] * n)]
+        d = spark.createDataFrame(made, "id long, g int, vec array<double>")
+        for group in (None, "g"):
+            want = {
+                (a, b): np.minimum(v, w).sum() / np.maximum(v, w).sum()
+                for a, g, v in made for b, h, w in made if a < b and (group is None or g == h) and sum(v) and sum(w) and np.minimum(v, w).sum() / np.maximum(v, w).sum() >= least
+            }
+            assert len(want) > 100 or vecs is dense
+            for index in (True, False, None):
+                rows = vo.similar_pairs(d, least, group, index).collect()
+                got = {(x.a, x.b): x.sim for x in rows}
+                assert len(rows) == len(got) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+                assert group is None or all(x.g == made[x.a][1] for x in rows if x.a < 200)
+
+
+def test_sparse_vectors_meet_in_few_lists(spark):
+    """The index is taken for sparse vectors, and its lists hold far fewer pairs than all vectors make."""
+    from motifgrid.operators import vectors as vo
+
+    r = np.random.default_rng(6)
+    vecs = np.zeros((600, 300))
+    for v in vecs:
+        v[r.choice(300, 12, replace=False)] = r.integers(1, 5, 12)
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    t = vo.total(F.col("vec"))
+    n = [x.n for x in vo._postings(d.withColumn("t", t), 0.5, []).groupBy("dim").agg(F.count("*").alias("n")).collect()]
+    assert sum(x * x for x in n) < 0.25 * 600**2
+    assert vo.similar_pairs(d, 0.5).count() == vo.similar_pairs(d, 0.5, index=False).count()
