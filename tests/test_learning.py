@@ -29,15 +29,27 @@ def test_centres_draw_from_the_whole_table(spark):
     assert abs(le.whole_loss(d, c, 100.0) - le.information_loss(le.soft_counts(c, left, right, 100.0))) < 1e-9
 
 
-def test_communities_beyond_the_sample(spark):
-    """Two cliques joined by one weak edge: every node of a clique has one cluster, sampled or not."""
+def test_communities_by_joins(spark):
+    """Two cliques joined by one weak edge: every node of a clique has one cluster, on the driver or by joins; a node without edges is alone."""
     edges = [(a, b, 0.9) for h in (0, 20) for a in range(h, h + 20) for b in range(a + 1, h + 20)] + [(0, 20, 0.1)]
     graph = spark.createDataFrame(edges, "a long, b long, sim double")
     nodes = spark.createDataFrame([(i,) for i in [*range(40), 99]], "id long")
     for most in (100, 24):
         got = {r.id: r.cluster for r in le.graph_communities(graph, nodes, [1.0], most).collect()}
-        assert set(got) == {*range(40), 99}
+        assert set(got) == {*range(40), 99} and got[99] == 99
         assert len({got[i] for i in range(20)}) == 1 and len({got[i] for i in range(20, 40)}) == 1 and got[0] != got[20]
+    assert le.graph_communities(graph.filter("false"), nodes.filter("false"), [1.0], 24).count() == 0
+
+
+def test_modularity_by_joins_is_as_good(spark):
+    r = np.random.default_rng(8)
+    edges = [(a, b, float(r.random())) for a in range(300) for b in range(a + 1, 300) if r.random() < (0.4 if a // 30 == b // 30 else 0.02)]
+    graph = spark.createDataFrame(edges, "a long, b long, sim double").repartition(3)
+    nodes = spark.range(300).select("id")
+    one = le.graph_communities(graph, nodes, [1.0]).select("id", "cluster")
+    by_joins = le.graph_communities(graph, nodes, [1.0], most=2).select("id", "cluster")
+    a, b = le.modularity(graph, one), le.modularity(graph, by_joins)
+    assert by_joins.count() == 300 and a > 0.4 and b > 0.98 * a
 
 
 def test_similar_pairs_by_brute_force(spark):
