@@ -10,23 +10,72 @@ def pairs_of(spark, n=600):
     return spark.createDataFrame(rows, "x array<double>, y array<double>"), rows
 
 
-def test_every_pair_trains_the_codebook(spark):
+def test_codebook_trains_in_tasks(spark):
+    """Every pair is in one task's share; averaged tasks learn, and validation follows."""
     d, rows = pairs_of(spark)
-    for epoch in (0, 1):
-        chunks = list(le.dealt(d, epoch, 100))
-        seen = sorted(tuple(np.round(v, 4)) for x, y in chunks for v in np.hstack([x, y]).tolist())
-        assert len(chunks) > 1 and seen == sorted(tuple(np.round(x + y, 4)) for x, y in rows)
-    book, losses = le.trained_codebook(d, codes=4, hidden=8, epochs=2, chunk=100)
-    assert len(losses) == 2 and len(set(book.nearest(book.latent(np.array([r[0] for r in rows]))).tolist())) > 1
+    table = le.dealt(d, 100, len(rows))
+    shares = table.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(shares) > 1 and sorted((tuple(r.x), tuple(r.y)) for r in table.collect()) == sorted((tuple(x), tuple(y)) for x, y in rows)
+    for chunk in (100, 10_000):
+        book, history = le.trained_codebook(d, codes=4, hidden=8, epochs=6, chunk=chunk, batch=32, rate=1e-2, validation=d)
+        assert len(history) == 6 and history[-1]["validation_loss"] < 0.7 * history[0]["validation_loss"] and history[-1]["perplexity"] > 1.2
+        x = np.array([r[0] for r in rows])
+        got = {r.id: r.code for r in le.encoded(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(50)], "id long, vec array<double>"), book).collect()}
+        assert got == dict(enumerate(book.nearest(book.latent(x[:50])).tolist()))
+
+
+def test_codebook_layers():
+    """Folded layers give what normalisation with the seen means gives; packing is a round trip; the decoder's gradient is exact."""
+    r = np.random.default_rng(1)
+    book = le.Codebook(5, 6, 2, 3)
+    x, y = r.random((40, 5)), r.random((40, 5))
+    for _ in range(5):
+        book.step(x, y)
+    w = book.weights
+    a = (x @ w["w1"] + w["b1"] - book.seen["m1"]) / np.sqrt(book.seen["v1"] + 1e-5) * w["g1"] + w["o1"]
+    assert np.allclose(book.latent(x), np.maximum(a, 0) @ w["w2"] + w["b2"])
+    same = book.unpacked(book.packed(), book.steps)
+    assert all((same.weights[k] == w[k]).all() for k in w) and same.steps == 5
+
+    def loss(k, i, by):
+        other = book.unpacked(book.packed(), 0)
+        other.weights[k].flat[i] += by
+        return other.step(x, y, rate=0.0)
+
+    fresh = book.unpacked(book.packed(), 0)
+    for k in fresh.weights:
+        fresh.first[k][:], fresh.second[k][:] = 0, 0
+    fresh.step(x, y, rate=0.0)
+    for k in ("w3", "b3", "g3", "o3", "w4", "b4"):
+        for i in range(0, w[k].size, 3):
+            assert abs(fresh.first[k].flat[i] / 0.1 - (loss(k, i, 1e-6) - loss(k, i, -1e-6)) / 2e-6) < 1e-6
+
+
+def test_gradient_of_centres(spark):
+    """The slope equals finite differences, and its sum over tasks equals one task's."""
+    r = np.random.default_rng(2)
+    left, right, c = r.random((30, 6)), r.random((30, 6)), r.random((4, 6))
+    loss = lambda m: le.information_loss(le.soft_counts(m, left, right, 7.0))
+    got = le.centre_slope(c, left, right, 7.0, le.loss_slope(le.soft_counts(c, left, right, 7.0)))
+    for i in range(c.size):
+        up, down = c.copy(), c.copy()
+        up.flat[i] += 1e-6
+        down.flat[i] -= 1e-6
+        assert abs(got.flat[i] - (loss(up) - loss(down)) / 2e-6) < 1e-6
+    d = spark.createDataFrame([([float(v) for v in a], [float(v) for v in b]) for a, b in zip(left, right, strict=True)], "x array<double>, y array<double>").repartition(3)
+    assert np.allclose(le.whole_slope(d, c, 7.0), got)
 
 
 def test_centres_draw_from_the_whole_table(spark):
     d, rows = pairs_of(spark)
     x, _ = le.drawn(d, 100, 0)
-    assert 25 < (x[:, 1] > x[:, 0]).sum() < 75
-    c = le.learned_centres(d, 4, batch=50, steps=12, every=5)
+    assert 40 < len(x) < 200 and 0.2 < (x[:, 1] > x[:, 0]).mean() < 0.8
     left, right = (np.array([r[k] for r in rows]) for k in (0, 1))
-    assert abs(le.whole_loss(d, c, 100.0) - le.information_loss(le.soft_counts(c, left, right, 100.0))) < 1e-9
+    whole = lambda c: le.information_loss(le.soft_counts(c, left, right, 100.0))
+    c = le.learned_centres(d, 4, batch=50, steps=12, every=5, rate=0.05)
+    assert abs(le.whole_loss(d, c, 100.0) - whole(c)) < 1e-9
+    start = le.learned_centres(d, 4, batch=50, steps=0, every=5)
+    assert whole(c) <= whole(start) and whole(le.learned_centres(d, 4, batch=None, steps=3, every=3, rate=0.05)) <= whole(start) + 1
 
 
 def test_communities_by_joins(spark):
