@@ -12,8 +12,8 @@ Queries are a stated set and grow with the table, so they aren't broadcast: bloc
 queries are joined to every shard by the shard's number, and a shard answers k rows to a query. The
 k best of each query come from these.
 
-Defined results: a row whose vector is null, empty, or holds a null or a component that isn't finite
-takes no part, nor does one without vec_id; shorter vectors count as if padded with zeros. Values are
+Defined results: a row whose vector is null, or holds a null or a component that isn't finite
+takes no part, nor does one without vec_id; shorter vectors, empty ones too, count as if padded with zeros. Values are
 64-bit integers (a component beyond them counts as the nearest one). Where a shard's values and a query's could add up to more than 62 bits,
 the shard's rows are scored with integers of any length in place of slices; a score beyond 64 bits is given as the
 nearest 64-bit integer, ranked by up to 38 digits. Rows that repeat a vec_id are queries each and candidates each, of each other too; ties
@@ -42,7 +42,7 @@ SHARD_ROWS, QUERY_ROWS, DROPPED = 4096, 64, 2
 def quantised(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """row (a number of its own), vec_id and the integers v of the rows that take part, written to the shared folder."""
     v = rows[vector].cast("array<double>")
-    good = rows[key].isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = rows[key].isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     held = F.transform(v, lambda x: F.floor(x * SCALE).cast("long"))
     return written(rows.filter(good).select(F.monotonically_increasing_id().alias("row"), rows[key].cast("long").alias("vec_id"), held.alias("v")), "bit-sliced-rows")
 
@@ -61,7 +61,7 @@ def packed_blocks(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
             at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             values += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         if ids:
-            full = np.zeros((len(ids), max(map(len, values))), np.int64)
+            full = np.zeros((len(ids), max(1, *map(len, values))), np.int64)  # empty vectors are a zero
             for i, x in enumerate(values):
                 full[i, : len(x)] = x
             if full.min() >= -(1 << 31) and full.max() < 1 << 31:

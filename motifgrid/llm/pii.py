@@ -85,6 +85,8 @@ DIGITS = 19
 #: Candidates scored at a time.
 SCORED = 4096
 _WORD = re.compile(r"[^\W\d_]+")
+_DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
+_DATE = re.compile(rf"(?<![0-9])(?:{_YEAR}([-/.]){_MONTH}\1{_DAY}|{_DAY}([-/.]){_MONTH}\2{_YEAR})(?![0-9])")
 #: Context words of each kind.
 HINTS = {
     "email": ("mail", "email", "e-mail", "contact", "correo", "write"),
@@ -179,7 +181,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(d) and luhn(d)), len(seps), float("." in seps), float("-" in seps), float(" " in seps), float("(" in seps or "[" in seps), float(d[:2] == "00"),
         float(d[:1] == "0"), float(bool(near & set(HINTS[kind]))), float(bool(near & set(_AGAINST))), float(before[-1:].isalnum()), float(after[:1].isalnum()),
         sum(c.isdigit() for c in before + after), float(" dot " in s.lower()), float("." in s.rpartition("at")[2]), s.count(":"), float(before[-1:] in "#$€£=%"), float(after[:1] in "%$€£:="),
-        float(" at " in s.lower()), float("@" in s),
+        float(" at " in s.lower()), float("@" in s), float(bool(_DATE.search(s))),
     ]
 
 
@@ -188,6 +190,9 @@ def _example(r: random.Random) -> tuple[str, str, int, int, float]:
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("aeinorst") for _ in range(r.randint(2, 8)))
     yes, kind = r.random() < 0.5, r.choice(KINDS)
+    year, month, day = f"{r.randint(1950, 2049)}", f"{r.randint(1, 12):02}", f"{r.randint(1, 28):02}"
+    date = r.choice((f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{year}/{month}/{day}", f"{day}/{month}/{year}"))
+    dated = r.choice((date, f"{date} {r.randint(0, 23):02}", f"{r.randint(1, 31)} {date}", f"{date} {r.randint(0, 23):02} {r.randint(0, 59):02}", f"{year}-{month}-{day} {year}-{month}-{day}"))
     if kind == "email":
         at, dot = r.choice(((" @ ", "."), ("@ ", "."), (" (at) ", "."), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", " (dot) "), (" [at] ", ".")))
         s = f"{word()}{r.choice(('.', '_', dot))}{r.choice((word(), num(2), word() + num(3)))}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}" if yes else f"{r.choice((word(), num(3), f'{num(4)}-{num(2)}-{num(2)}', f'{word()}.{word()}'))} at {word()}.{word()}"
@@ -201,7 +206,7 @@ def _example(r: random.Random) -> tuple[str, str, int, int, float]:
         s = f"{d[:4]}{(x := r.choice(('.', ' ', '-', '/')))}{d[4:10]}{x}{d[10:]}" if r.random() < 0.6 else d
     else:
         x = r.choice((" ", "-", "."))
-        s = r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}{x}{num(3)}{x}{num(4)}", f"00{r.randint(1, 99)} {num(3)} {num(7)}", f"0{num(3)}/{num(7)}")) if yes else r.choice((num(r.randint(7, 15)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(2)}.{num(4)}", f"{num(5)} {num(4)} {num(6)}", f"{num(1)} {num(3)} {num(3)}"))
+        s = r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}{x}{num(3)}{x}{num(4)}", f"00{r.randint(1, 99)} {num(3)} {num(7)}", f"0{num(3)}/{num(7)}")) if yes else r.choice((num(r.randint(7, 15)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(2)}.{num(4)}", f"{num(5)} {num(4)} {num(6)}", f"{num(1)} {num(3)} {num(3)}", dated, dated))
     hint = r.choice(HINTS[kind]) if r.random() < (0.5 if yes else 0.1) else r.choice(_AGAINST) if r.random() < (0.03 if yes else 0.5) else word()
     before = " ".join([word() for _ in range(r.randint(0, 5))] + [hint]) + r.choice((" ", ": ", " "))
     return before + s + r.choice((" ", ". ", ", ", "")) + word(), kind, len(before), len(before) + len(s), float(yes)

@@ -106,6 +106,14 @@ def test_pii_base_and_added():
     assert pii.found_spans("version 1.20.300 of page 12345678 on 2024-01-02 at noon.today", model)[1] == []
 
 
+def test_pii_dates_are_no_phones():
+    model = pii.trained()
+    for t in ("from 2019-01-01 to 2020-01-01 12", "on 03.04.2021 17 we met", "logged 2020/11/30 23 59 by hand", "between 1999-05-06 2001-07-08 it was kept", "call 14 12/10/2015 again"):
+        assert pii.found_spans(t, model)[1] == [], t
+    for t in ("tel (030) 555-1234 today", "call 212-555-0199 now", "phone 0049 301 2345678."):
+        assert any(x[0] == "phone" for x in pii.found_spans(t, model)[1]), t
+
+
 def test_pii_numbers_side_by_side_and_short_addresses():
     model = pii.trained()
     for t, kind, want in (
@@ -215,7 +223,7 @@ def test_bit_sliced(spark, n):
     got = defaultdict(list)
     for x in bit_sliced.top_k(q, q.filter("vec_id % 50 = 0"), 5, 128, 8).collect():
         got[x.query_id].append((x.rank, x.vec_id, x.score))
-    whole = {i: np.pad(np.floor(256 * np.array(v)), (0, 9 - len(v))).astype(int) for i, v in made + ([(20_250, [1.0, -2.0])] if n else [])}
+    whole = {i: np.pad(np.floor(256 * np.array(v)), (0, 9 - len(v))).astype(int) for i, v in made + ([(20_250, [1.0, -2.0]), (20_200, [])] if n else [])}
     for i, v in whole.items():
         if i % 50 == 0:
             best = sorted((-int(v @ o), j) for j, o in whole.items() if j != i)[:5]
@@ -223,6 +231,13 @@ def test_bit_sliced(spark, n):
     assert not got
 
 
+def test_bit_sliced_empty_vectors(spark):
+    """An empty vector has a sum of 0 with all others."""
+    for made, want in (([(50, [1.0]), (1, []), (2, [-1.0])], [(50, 1, 1, 0), (50, 2, 2, -(256**2))]), ([(50, []), (100, [])], [(50, 1, 100, 0), (100, 1, 50, 0)])):
+        q = bit_sliced.quantised(spark.createDataFrame(made, "vec_id long, embedding array<double>"))
+        assert sorted(tuple(r) for r in bit_sliced.top_k(q, q.filter("vec_id % 50 = 0")).collect()) == want
+
+
 def test_bit_sliced_large_values_and_repeated_ids(spark):
     """Components of any size are ranked by their exact sums; rows that repeat an id ask, and answer, each."""
     made = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [100_000.0, 0.0]), (2, [90_000.0, 0.0]), (3, [3e9, -3e9]), (4, [1e30, 0.0]), (5, [-2.0, 7.0])]
