@@ -58,15 +58,13 @@ def cigar_rows(df: DataFrame, ops: Column, start1: Column, start2: Column) -> Da
 def gapped_columns(aln: Column) -> Column:
     """array<struct<i, j>> of an alignment array: a jump in j opens a gap in the first, unless a gap precedes it."""
     empty = F.array().cast("array<struct<i:int,j:int>>")
-    pairs = F.transform(aln, lambda j, i: F.struct(i.alias("i"), j.alias("j")))
 
-    def step(s, p):
-        last = F.get(s, F.size(s) - 1)["j"]
-        jump = (F.size(s) > 0) & last.isNotNull() & (p["j"] > last + 1)
-        skipped = F.when(jump, F.transform(F.sequence(last + 1, p["j"] - 1), lambda b: F.struct(F.lit(None).cast("int").alias("i"), b.alias("j")))).otherwise(empty)
-        return F.concat(s, skipped, F.array(F.struct(p["i"].alias("i"), F.when(p["j"] >= 0, p["j"]).alias("j"))))
+    def columns(j, i):
+        last = F.when(i > 0, F.get(aln, i - 1))
+        skipped = F.when((last >= 0) & (j > last + 1), F.transform(F.sequence(last + 1, j - 1), lambda b: F.struct(F.lit(None).cast("int").alias("i"), b.alias("j")))).otherwise(empty)
+        return F.concat(skipped, F.array(F.struct(i.alias("i"), F.when(j >= 0, j).alias("j"))))
 
-    return F.aggregate(pairs, empty, step)
+    return F.flatten(F.transform(aln, columns))
 
 
 def projected(columns: Column, letters: Column, side: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,9 +113,27 @@ def hashed_sample(rows: DataFrame, hashed: Column, n: int, key: str) -> DataFram
     return rows.withColumn("__h", hashed).orderBy("__h", key).limit(n).drop("__h")
 
 
-def resampled(rows: DataFrame, share: float = 0.2, seed: int = 0) -> DataFrame:
-    """A seeded sample with replacement; duplicates stay."""
-    return rows.sample(withReplacement=True, fraction=share, seed=seed)
+def resampled(rows: DataFrame, key: str, share: float = 0.2, seed: int = 0) -> DataFrame:
+    """A seeded sample with replacement: each row comes as often as a Poisson variable of mean `share` that a hash of its key decides.
+
+    The first eight hex digits of md5("seed:key") are the row's place in [0, 1), and the number of copies is how many values of the
+    distribution function it has passed. So any engine, and any split of the rows, gives the same sample. Rows of an equal key come alike often; a null key counts as empty.
+    """
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2.0**32
+    times = sum(((place >= p).cast("int") for p in poisson_steps(share)), F.lit(0))
+    return rows.withColumn("__n", times).filter("__n > 0").select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i")).drop("__i")
+
+
+def poisson_steps(mean: float) -> list[float]:
+    """Values of the Poisson distribution function, as far as 32 bits tell them from 1."""
+    out, term = [], math.exp(-mean)
+    total, k = term, 0
+    while total < 1 - 2.0**-33:
+        out.append(total)
+        k += 1
+        term *= mean / k
+        total += term
+    return out
 
 
 def best_centre(vectors: DataFrame, centres: DataFrame, similarity: Column, ties: bool = False) -> DataFrame:

@@ -231,9 +231,12 @@ def hash_sample(spark, d):
     return rl.hashed_sample(read(spark, d, "orders").select("o_orderkey"), (F.col("o_orderkey") * 7919) % 10007, 200, "o_orderkey")
 
 
-@query()
+_PLACE = "('0x' || substr(md5('0:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, unnest(range({' + '.join(f'CAST({_PLACE} >= {p!r}::DOUBLE AS INTEGER)' for p in rl.poisson_steps(0.2))})) FROM orders)")
 def seeded_resample(spark, d):
-    return rl.resampled(read(spark, d, "orders").select("o_orderkey", "o_custkey"))
+    return rl.resampled(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE value < 20 UNION ALL SELECT event_id, event_type, value FROM events WHERE value > 80")

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import geometry as ge
 from ..functions import kernels
 from ..functions import sequences as sq
+from ..functions import surface
 from ..functions import vectors as ve
 from ..operators import alignment as al
 from ..operators import counts as ct
 from ..operators import learning as le
 from ..operators import relations as rl
 from ..operators import vectors as vo
-from .base import B, L, LETTERS, P, PT, V, aligned, jac, letters, points, query, r6, read, vectors
+from .base import B, L, LETTERS, ORACLE, P, PT, V, aligned, jac, letters, points, query, r6, read, vectors
 
 _SS = "CASE WHEN psi BETWEEN -1.47 AND 0.63 AND phi BETWEEN -2.51 AND -0.42 THEN 'R' WHEN psi BETWEEN -0.84 AND 1.26 AND phi BETWEEN 0.63 AND 2.51 THEN 'L' WHEN (psi BETWEEN 0.63 AND 3.14 AND phi BETWEEN -pi() AND -0.42) OR (psi BETWEEN -pi() AND -2.09 AND phi BETWEEN -pi() AND -0.84) THEN 'B' ELSE 'X' END"
 
@@ -254,14 +255,17 @@ def _seqs(spark, d):
     return a.join(b, "pair").withColumn("aln", F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda i: F.when((i % 7 == 6) | (i + 1 >= F.size("y")), -1).otherwise(i + F.when(i > 10, 1).otherwise(0))))
 
 
-@query()
+_PJ = P + ", NX AS (SELECT prot_id // 2 AS pair, pos, letter FROM L WHERE prot_id % 2 = 0 AND prot_id + 1 IN (SELECT prot_id FROM L)), NY AS (SELECT prot_id // 2 AS pair, pos, letter FROM L WHERE prot_id % 2 = 1), LN AS (SELECT pair, count(*) AS n FROM NY GROUP BY pair), A AS (SELECT NX.pair, NX.pos, NX.letter AS a, CASE WHEN NX.pos % 7 = 6 OR NX.pos + 1 >= n THEN -1 ELSE NX.pos + CASE WHEN NX.pos > 10 THEN 1 ELSE 0 END END AS j FROM NX JOIN LN USING (pair))"
+
+
+@query(f"""WITH {_PJ}, X AS (SELECT pair, pos, j, lag(j) OVER (PARTITION BY pair ORDER BY pos) AS before FROM A),
+ R AS (SELECT pair, pos, 0 AS own, CAST(NULL AS INTEGER) AS i, unnest(range(before + 1, j)) AS j FROM X WHERE before >= 0 AND j > before + 1 UNION ALL SELECT pair, pos, 1, pos, CASE WHEN j >= 0 THEN j END FROM X)
+ SELECT pair, CAST(row_number() OVER (PARTITION BY pair ORDER BY pos, own, j) - 1 AS INTEGER) AS col, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM R""")
 def gapped_columns(spark, d):
     x = _seqs(spark, d).select("pair", F.posexplode(sq.gapped_columns(F.col("aln"))).alias("col", "c"))
     return x.select("pair", "col", "c.i", "c.j")
 
 
-_PJ = P + ", NX AS (SELECT prot_id // 2 AS pair, pos, letter FROM L WHERE prot_id % 2 = 0 AND prot_id + 1 IN (SELECT prot_id FROM L)), NY AS (SELECT prot_id // 2 AS pair, pos, letter FROM L WHERE prot_id % 2 = 1), LN AS (SELECT pair, count(*) AS n FROM NY GROUP BY pair), A AS (SELECT NX.pair, NX.pos, NX.letter AS a, CASE WHEN NX.pos % 7 = 6 OR NX.pos + 1 >= n THEN -1 ELSE NX.pos + CASE WHEN NX.pos > 10 THEN 1 ELSE 0 END END AS j FROM NX JOIN LN USING (pair))"
-
 
 @query(f"WITH {_PJ} SELECT A.pair, A.pos AS i, A.a AS letter1, NY.letter AS letter2 FROM A LEFT JOIN NY ON NY.pair = A.pair AND NY.pos = A.j")
 def project_letters(spark, d):
@@ -325,6 +329,37 @@ def blurry_similarity(spark, d):
     return p.select("a", "b", r6(ve.weighted_jaccard(F.col("va"), F.col("vb")), "sim"))
 
 
+# Functions called from SQL text.
+
+
+def _called(spark, text, **tables):
+    """The rows of a statement that may call the registered functions."""
+    surface.register(spark)
+    return spark.sql(text, **tables)
+
+
+@query(f"WITH {V} SELECT a.id AS a, b.id AS b, round({jac('a.vec', 'b.vec')}, 6) AS sim FROM V a JOIN V b ON b.id = a.id + 1")
+def sql_jaccard(spark, d):
+    return _called(spark, "SELECT a.id AS a, b.id AS b, round(jaccard(a.vec, b.vec), 6) + 0.0D AS sim FROM {v} a JOIN {v} b ON b.id = a.id + 1", v=vectors(spark, d))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((0.3178780674934387 * l_quantity - ln(0.2689192327152678)) / ln(2), 6) AS bits FROM lineitem")
+def sql_bitscore(spark, d):
+    text = "SELECT l_orderkey, l_linenumber, round(bitscore(l_quantity, 0.3178780674934387D, 0.2689192327152678D), 6) + 0.0D AS bits FROM {x}"
+    return _called(spark, text, x=read(spark, d, "lineitem"))
+
+
+@query("WITH X AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS m FROM lineitem), O AS (SELECT l_orderkey, l_linenumber, unnest([0, 1, 2]) AS op, m FROM X) SELECT l_orderkey, l_linenumber, CAST(op AS INTEGER) AS op, ['M', 'D', 'I'][op + 1] AS kind, CAST([m, 2, l_linenumber][op + 1] AS INTEGER) AS len, CAST(3 + CASE WHEN op > 0 THEN m ELSE 0 END AS INTEGER) AS first1, CAST(CASE WHEN op > 0 THEN m ELSE 0 END + CASE WHEN op > 1 THEN 2 ELSE 0 END AS INTEGER) AS first2 FROM O")
+def sql_parse_cigar(spark, d):
+    text = "SELECT l_orderkey, l_linenumber, c.* FROM {x}, LATERAL parse_cigar(concat(int(l_quantity), 'M2D', l_linenumber, 'I'), 4, 1) c"
+    return _called(spark, text, x=read(spark, d, "lineitem"))
+
+
+@query(ORACLE["gapped_columns"])
+def sql_expand_alignment(spark, d):
+    return _called(spark, "SELECT pair, c.* FROM {x}, LATERAL expand_alignment(aln) c", x=_seqs(spark, d).select("pair", "aln"))
+
+
 # Alignment kernels, search, and learned alphabets.
 
 

@@ -15,6 +15,8 @@ from ..functions.sequences import masked, parsed_alignment, path_label, residue_
 
 #: Fields of an ATOM line (name, first place, length, type).
 ATOM_FIELDS = (("atom", 13, 4, "string"), ("altloc", 17, 1, "string"), ("resname", 18, 3, "string"), ("chain", 22, 1, "string"), ("res_seq", 23, 4, "int"), ("icode", 27, 1, "string"), ("x", 31, 8, "double"), ("y", 39, 8, "double"), ("z", 47, 8, "double"))
+#: Fixed value: length of a peptide bond at most.
+BOND = 1.8
 PAIR_SCHEMA = "c0 string, prot1 string, prot2 string, tm double, aln string"
 
 
@@ -29,7 +31,8 @@ def atoms(spark: SparkSession, path: str) -> DataFrame:
 def residues(spark: SparkSession, path: str) -> DataFrame:
     """One row a residue: prot_id, model, chain, pos, resname, letter, n, ca, c, cb (virtual for GLY), phi, psi, ss.
 
-    Residues without N, CA or C have null angles; the first and last of a chain are X.
+    Residues without N, CA or C have null angles; the first and last of a chain are X, as are those at a break: no
+    peptide bond joins a C to an N that is BOND or more away.
     """
     a = atoms(spark, path).withColumn("at", F.struct("x", "y", "z"))
     key = ["prot_id", "model", "chain", "res_seq", "icode"]
@@ -39,6 +42,8 @@ def residues(spark: SparkSession, path: str) -> DataFrame:
     r = r.withColumn("cb", F.when(F.col("resname") == "GLY", g.virtual_beta(F.col("n"), F.col("ca"), F.col("c"))).otherwise(F.col("cb")))
     chain = W.partitionBy("prot_id", "model", "chain").orderBy("first")
     before, after = F.lag("c").over(chain), F.lead("n").over(chain)
+    bonded = lambda c, n, x: F.when(g.distance(c, n) < BOND, x)
+    before, after = bonded(before, F.col("n"), before), bonded(F.col("c"), after, after)
     r = r.withColumn("phi", g.dihedral(before, F.col("n"), F.col("ca"), F.col("c"))).withColumn("psi", g.dihedral(F.col("n"), F.col("ca"), F.col("c"), after))
     r = r.withColumn("ss", F.when(F.col("phi").isNull() | F.col("psi").isNull(), "X").otherwise(g.structure_class(F.col("phi"), F.col("psi"))))
     return r.select("prot_id", "model", "chain", "pos", "resname", residue_letter(F.col("resname")).alias("letter"), "n", "ca", "c", "cb", "phi", "psi", "ss")

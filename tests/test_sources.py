@@ -49,6 +49,37 @@ def test_structure(spark, structure):
     assert {(x.pos, x.nbr_pos) for x in n.collect()} == want and n.filter("bin_id not between 0 and 999").count() == 0
 
 
+def test_angles_stop_at_a_break(spark, structure, tmp_path):
+    """Residues on both sides of a gap in the chain lack the angle across it."""
+    lines = [x if not x.startswith("ATOM") or int(x[22:26]) < 7 else f"{x[:46]}{float(x[46:54]) + 4:8.3f}{x[54:]}" for x in open(structure).read().split("\n")]
+    (tmp_path / "p2_").write_text("\n".join(lines))
+    whole, cut = ({x.pos: x for x in files.residues(spark, p).collect()} for p in (structure, str(tmp_path / "p2_")))
+    assert whole[5].psi is not None and whole[6].phi is not None
+    assert cut[5].psi is None and cut[6].phi is None and cut[5].ss == cut[6].ss == "X"
+    assert cut[5].phi == whole[5].phi and abs(cut[6].psi - whole[6].psi) < 1e-9 and cut[4].ss == whole[4].ss
+
+
+def test_resample_is_poisson_and_keyed(spark):
+    d = spark.range(20_000).select("id", (F.col("id") % 7).alias("v"))
+    got = [(r.id, r.v) for r in rl.resampled(d.repartition(3), "id", 1.5, seed=4).collect()]
+    assert sorted(got) == sorted((r.id, r.v) for r in rl.resampled(d.repartition(5), "id", 1.5, seed=4).collect())
+    n = np.bincount([i for i, _ in got], minlength=20_000)
+    for k in range(5):
+        assert abs((n == k).mean() - math.exp(-1.5) * 1.5**k / math.factorial(k)) < 0.015
+    assert rl.resampled(d, "id", 0.0).count() == 0 and len(got) != rl.resampled(d, "id", 1.5, seed=5).count()
+
+
+def test_functions_in_sql(spark):
+    from motifgrid.functions import surface
+
+    surface.register(spark)
+    one = lambda text: [tuple(r) for r in spark.sql(text).collect()]
+    assert one("SELECT jaccard(array(1D, 2D, 0D), array(0.5D, 3D, 0D)), jaccard(array(0D), array(0D)), jaccard(null, array(1D)), jaccard(array(1D), array(1D, 2D))") == [(0.625, None, None, None)]
+    assert one("SELECT c.* FROM LATERAL parse_cigar('2M1D1M', 1, 1) c") == [(0, "M", 2, 0, 0), (1, "D", 1, 2, 2), (2, "M", 1, 2, 3)]
+    assert one("SELECT count(*) FROM LATERAL parse_cigar(null, 1, 1) c") == [(0,)]
+    assert one("SELECT c.* FROM LATERAL expand_alignment(array(-1, 0, 1, 4)) c") == [(0, 0, None), (1, 1, 0), (2, 2, 1), (3, None, 2), (4, None, 3), (5, 3, 4)]
+
+
 def test_alignments_names_and_lists(spark, tmp_path):
     (tmp_path / "a.csv").write_text('c0,prot1,prot2,tm,aln\n0,a,b,0.5,"[0 1 -1]"\n1,a,b,0.6,"[ 2  -1 ]"\n2,c,d,0.7,"[x 1]"\n')
     rows = files.alignments(spark, str(tmp_path / "a.csv")).collect()
