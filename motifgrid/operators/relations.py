@@ -67,6 +67,16 @@ def neighbours(residues: DataFrame, most: Column, apart: int = 5) -> DataFrame:
     return a.join(b, "prot_id").filter((F.abs(F.col("pos") - F.col("nbr_pos")) > apart) & most).select("prot_id", "pos", "nbr_pos")
 
 
+def near_values(residues: DataFrame, radius: float, apart: int = 5) -> DataFrame:
+    """prot_id, pos, nbr_pos of residues (prot_id, pos, at) whose values differ by less than radius and that are over `apart` places apart.
+
+    Values are dealt to cells as wide as the radius, and each is compared with its own cell and those beside it, not with all of its protein.
+    """
+    a = residues.select("prot_id", "pos", F.col("at").alias("a"), F.explode(F.array(*[F.floor(F.col("at") / radius) + i for i in (-1, 0, 1)])).alias("cell"))
+    b = residues.select("prot_id", F.col("pos").alias("nbr_pos"), F.col("at").alias("b"), F.floor(F.col("at") / radius).alias("cell"))
+    return a.join(b, ["prot_id", "cell"]).filter((F.abs(F.col("pos") - F.col("nbr_pos")) > apart) & (F.abs(F.col("a") - F.col("b")) < radius)).select("prot_id", "pos", "nbr_pos")
+
+
 def cell_neighbours(points: DataFrame, radius: float, apart: int = 5) -> DataFrame:
     """prot_id, pos, nbr_pos of points (x, y, z) closer than radius: each is compared with the 27 cells around it."""
     cell = [F.floor(F.col(k) / radius) for k in "xyz"]

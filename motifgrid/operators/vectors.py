@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import total, weighted_jaccard
+from ..functions.kernels import jaccard_similarity
+from ..functions.vectors import total
 from ..sources.shared import written
 from .ordering import exact_medians, joined_groups
 
@@ -118,12 +119,40 @@ def cluster_median(vectors: DataFrame) -> DataFrame:
     return exact_medians(vectors.select("cluster", F.posexplode("vec").alias("dim", "x")), ["cluster", "dim"], "x")
 
 
+def pairs_over(vectors: DataFrame, least: float, digits: int = 6) -> DataFrame:
+    """cluster, kind, n: how many pairs of a cluster's vectors (cluster, id, vec) have a rounded similarity of `least` or more (edge), and how many haven't (none)."""
+    near = similar_pairs(vectors, least - 10.0**-digits, "cluster").filter(F.round("sim", digits) >= least).groupBy("cluster").agg(F.count("*").alias("edge"))
+    all_ = vectors.groupBy("cluster").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("pairs"))
+    d = joined_groups(all_, near, ["cluster"]).select("cluster", F.coalesce("edge", F.lit(0)).alias("edge"), "pairs")
+    kinds = F.array(F.struct(F.lit("edge").alias("kind"), F.col("edge").alias("n")), F.struct(F.lit("none").alias("kind"), (F.col("pairs") - F.col("edge")).alias("n")))
+    return d.select("cluster", F.explode(kinds).alias("x")).select("cluster", "x.*").filter("n > 0")
+
+
 def cluster_medoid(vectors: DataFrame) -> DataFrame:
-    """cluster, medoid: the vector with the least sum of distances (1 - similarity) to its cluster; the least id of equals."""
-    a = vectors.select("cluster", F.col("id").alias("a"), F.col("vec").alias("va"))
-    b = vectors.select("cluster", F.col("vec").alias("vb"))
-    d = a.join(b, "cluster").groupBy("cluster", "a").agg(F.round(F.sum(1 - F.coalesce(weighted_jaccard(F.col("va"), F.col("vb")), F.lit(0.0))), 9).alias("far"))
-    return d.groupBy("cluster").agg(F.min(F.struct("far", "a")).alias("x")).select("cluster", F.col("x.a").alias("medoid"), F.col("x.far").alias("far"))
+    """cluster, medoid, far: the vector with the least sum of distances (1 - similarity; 1 to a vector of zeros) to its cluster; the least id of equals.
+
+    The sum takes all pairs of a cluster, but none leaves a task: vectors are dealt into blocks, a task sums over a pair of blocks and
+    gives a part of the sum for each of its vectors.
+    """
+    sizes = vectors.groupBy("cluster").agg(F.ceil(F.sqrt(F.count("*").cast("double")) / _SPREAD).cast("int").alias("blocks"))
+    d = joined_groups(vectors.select("cluster", "id", "vec"), sizes, ["cluster"])
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("x"), F.greatest(j, block).alias("y")))
+    d = d.select("cluster", "id", "vec", block.alias("block"), F.explode(cells).alias("cell")).select("cluster", "id", "vec", "block", "cell.x", "cell.y")
+    kinds = dict(vectors.dtypes)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
+        a, b = (frame[frame["block"] == k] for k in (x, y))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"cluster": [], "a": [], "part": []})
+        sim = jaccard_similarity(*(np.stack(k["vec"].to_numpy()).astype(float) for k in (a, b)))
+        ids, parts = (a["id"], (1 - sim).sum(axis=1)) if x == y else (pd.concat([a["id"], b["id"]]), np.concatenate([(1 - sim).sum(axis=1), (1 - sim).sum(axis=0)]))
+        return pd.DataFrame({"cluster": [frame["cluster"].iloc[0]] * len(ids), "a": ids.to_numpy(), "part": parts})
+
+    parts = d.groupBy("cluster", "x", "y").applyInPandas(run, f"cluster {kinds['cluster']}, a {kinds['id']}, part double")
+    far = parts.groupBy("cluster", "a").agg(F.round(F.sum("part"), 9).alias("far"))
+    return far.groupBy("cluster").agg(F.min(F.struct("far", "a")).alias("x")).select("cluster", F.col("x.a").alias("medoid"), F.col("x.far").alias("far"))
 
 
 def rolled(items: DataFrame, keep: list[str], value: str) -> DataFrame:

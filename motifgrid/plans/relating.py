@@ -168,13 +168,13 @@ def given_vs_computed(spark, d):
 @query(f"WITH {L} SELECT a.prot_id, a.pos, b.pos AS nbr_pos FROM L a JOIN L b ON a.prot_id = b.prot_id WHERE abs(a.pos - b.pos) > 5 AND abs(a.value - b.value) < 5")
 def distance_selfjoin(spark, d):
     x = letters(spark, d).select("prot_id", "pos", F.col("value").alias("at"))
-    return rl.neighbours(x, F.abs(F.col("a") - F.col("b")) < 5)
+    return rl.near_values(x, 5.0)
 
 
 @query(f"WITH {L} SELECT a.prot_id, a.pos, b.letter AS bin_id, count(*) AS cnt FROM L a JOIN L b ON a.prot_id = b.prot_id WHERE abs(a.pos - b.pos) > 5 AND abs(a.value - b.value) < 5 GROUP BY ALL")
 def nhot_counts(spark, d):
     x = letters(spark, d)
-    near = rl.neighbours(x.select("prot_id", "pos", F.col("value").alias("at")), F.abs(F.col("a") - F.col("b")) < 5)
+    near = rl.near_values(x.select("prot_id", "pos", F.col("value").alias("at")), 5.0)
     return ct.bin_counts(near.join(x.select("prot_id", F.col("pos").alias("nbr_pos"), F.col("letter").alias("bin_id")), ["prot_id", "nbr_pos"]))
 
 
@@ -186,7 +186,7 @@ _ED = L + """, E AS (SELECT a.prot_id // 2 AS pair, a.prot_id % 2 AS side, a.pos
 @query(f"WITH {_ED} SELECT coalesce(x.pair, y.pair) AS pair, coalesce(x.pos, y.pos) AS i, coalesce(x.nbr, y.nbr) AS k, x.bin AS bin1, y.bin AS bin2 FROM (SELECT * FROM S WHERE side = 0) x FULL JOIN (SELECT * FROM S WHERE side = 1) y ON x.pair = y.pair AND x.pos = y.pos AND x.nbr = y.nbr")
 def aligned_edges(spark, d):
     x = letters(spark, d)
-    near = rl.neighbours(x.select("prot_id", "pos", F.col("value").alias("at")), F.abs(F.col("a") - F.col("b")) < 3)
+    near = rl.near_values(x.select("prot_id", "pos", F.col("value").alias("at")), 3.0)
     e = near.join(x.select("prot_id", F.col("pos").alias("nbr_pos"), F.col("letter").alias("bin")), ["prot_id", "nbr_pos"]).withColumn("pair", F.expr("prot_id div 2"))
     cells = aligned(spark, d).select("pair", F.col("pos").alias("i"), F.col("pos").alias("j"))
     return rl.aligned_edges(e.filter("prot_id % 2 = 0"), e.filter("prot_id % 2 = 1"), cells)

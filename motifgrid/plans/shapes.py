@@ -121,10 +121,7 @@ def knn_graph(spark, d):
 
 @query(f"WITH {V} SELECT cluster, CASE WHEN sim >= 0.3 THEN 'edge' ELSE 'none' END AS kind, count(*) AS n FROM (SELECT a.cluster, round({jac('a.vec', 'b.vec')}, 6) AS sim FROM V a JOIN V b ON a.cluster = b.cluster AND a.id < b.id) GROUP BY ALL")
 def similarity_floor(spark, d):
-    v = vectors(spark, d)
-    b = v.select("cluster", F.col("id").alias("b"), F.col("vec").alias("vb"))
-    p = v.join(b, "cluster").filter("id < b").select("cluster", F.round(ve.weighted_jaccard(F.col("vec"), F.col("vb")), 6).alias("sim"))
-    return p.groupBy("cluster", F.when(F.col("sim") >= 0.3, "edge").otherwise("none").alias("kind")).agg(F.count("*").alias("n"))
+    return vo.pairs_over(vectors(spark, d), 0.3)
 
 
 _CM = V + ", CM AS (SELECT cluster, i, median(vec[i]) AS m FROM V, range(1, 65) t(i) GROUP BY cluster, i), CC AS (SELECT cluster AS centre_id, list(m ORDER BY i) AS centre FROM CM GROUP BY cluster)"
@@ -203,7 +200,7 @@ _ND = L + ", N AS (SELECT a.prot_id, a.pos, b.letter AS bin, count(*) AS cnt FRO
 @query(f"WITH {_ND} SELECT prot_id, pos, array_to_string(list_concat(list_transform(range(5), lambda k: CAST(coalesce(m[k], 0) AS VARCHAR)), ['5']), ',') AS vec FROM (SELECT prot_id, pos, map_from_entries(list((bin, cnt))) AS m FROM N GROUP BY prot_id, pos)")
 def nhot_dense(spark, d):
     x = letters(spark, d)
-    near = rl.neighbours(x.select("prot_id", "pos", F.col("value").alias("at")), F.abs(F.col("a") - F.col("b")) < 5)
+    near = rl.near_values(x.select("prot_id", "pos", F.col("value").alias("at")), 5.0)
     n = ct.bin_counts(near.join(x.select("prot_id", F.col("pos").alias("nbr_pos"), F.col("letter").alias("bin_id")), ["prot_id", "nbr_pos"]))
     return ct.dense_bins(n, LETTERS).select("prot_id", "pos", F.array_join(F.transform("vec", lambda v: v.cast("string")), ",").alias("vec"))
 

@@ -79,3 +79,33 @@ def test_first_false_positive_needs_no_ranks(spark):
 def test_best_of_many_metrics(spark):
     d = spark.createDataFrame([(1, 1, 5.0, None), (1, 0, 5.0, 2.0), (2, 0, 1.0, 2.0)], "open int, extend int, mean double, rho double")
     assert sorted(tuple(x) for x in rk.best_of(d, ["mean", "rho"], "open", "extend").collect()) == [("mean", 1, 0, 5.0), ("rho", 1, 0, 2.0)]
+
+
+def test_near_values_meet_in_cells(spark):
+    r = random.Random(6)
+    rows = [(i % 3, i, r.choice([r.uniform(-20, 20), 5.0, -5.0, None])) for i in range(120)]
+    want = {(p, i, j) for p, i, a in rows for q, j, b in rows if p == q and a is not None and b is not None and abs(i - j) > 5 and abs(a - b) < 2.5}
+    got = rl.near_values(spark.createDataFrame(rows, "prot_id int, pos int, at double"), 2.5).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_medoids_and_counts_of_pairs(spark, monkeypatch):
+    """Zeros, a lone vector, a null cluster and equal vectors; blocks of a few vectors."""
+    from motifgrid.operators import vectors as vo
+
+    r = random.Random(7)
+    rows = [(r.choice([1, 2, None]), i, [r.choice([0.0, r.random()]) for _ in range(4)]) for i in range(70)] + [(9, 100, [1.0] * 4), (1, 101, [0.0] * 4), (2, 102, [0.5] * 4), (2, 103, [0.5] * 4)]
+    sim = lambda v, w: sum(map(min, v, w)) / (sum(map(max, v, w)) or 1)
+    by = defaultdict(list)
+    for c, i, v in rows:
+        by[c].append((i, v))
+    medoids, kinds = {}, {}
+    for c, held in by.items():
+        medoids[c] = min((round(sum(1 - sim(v, w) for _, w in held), 9), i) for i, v in held)
+        over = [round(sim(v, w), 6) >= 0.3 for a, (_, v) in enumerate(held) for _, w in held[a + 1 :]]
+        kinds |= {(c, k): n for k, n in (("edge", sum(over)), ("none", len(over) - sum(over))) if n}
+    monkeypatch.setattr(vo, "_SPREAD", 2)
+    d = spark.createDataFrame(rows, "cluster int, id long, vec array<double>").repartition(3)
+    got = {x.cluster: (x.far, x.medoid) for x in vo.cluster_medoid(d).collect()}
+    assert set(got) == set(medoids) and all(got[c][1] == medoids[c][1] and abs(got[c][0] - medoids[c][0]) < 1e-6 for c in medoids)
+    assert {(x.cluster, x.kind): x.n for x in vo.pairs_over(d, 0.3).collect()} == kinds
