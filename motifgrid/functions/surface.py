@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     """Weighted Jaccard of two vectors of one length; null where one is null, lengths differ, a component is null, or all are zero."""
 
@@ -25,13 +26,13 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bitscore(score: pd.Series, lam: pd.Series, k: pd.Series) -> pd.Series:
     """(lam * score - ln k) / ln 2."""
     return (lam * score - np.log(k)) / np.log(2)
 
 
-@F.udtf(returnType="op int, kind string, len int, first1 int, first2 int")
+@F.udtf(returnType=StructType().add("op", "int").add("kind", "string").add("len", "int").add("first1", "int").add("first2", "int"))
 class ParseCigar:
     """The operations of a CIGAR text, and the first residue of both sequences in each, from 1-based starts."""
 
@@ -43,7 +44,7 @@ class ParseCigar:
             j += int(size) if kind != "I" else 0
 
 
-@F.udtf(returnType="col int, i int, j int")
+@F.udtf(returnType=StructType().add("col", "int").add("i", "int").add("j", "int"))
 class ExpandAlignment:
     """The columns of an alignment array (partner of each residue, -1 for none): a jump opens a gap in the first, unless a gap precedes it."""
 
