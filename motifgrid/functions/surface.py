@@ -9,7 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+
+def _row(**fields: type) -> StructType:
+    """A row type, as text would need a session."""
+    return StructType([StructField(k, IntegerType() if t is int else StringType()) for k, t in fields.items()])
 
 
 @F.pandas_udf(DoubleType())
@@ -32,7 +37,7 @@ def bitscore(score: pd.Series, lam: pd.Series, k: pd.Series) -> pd.Series:
     return (lam * score - np.log(k)) / np.log(2)
 
 
-@F.udtf(returnType=StructType().add("op", "int").add("kind", "string").add("len", "int").add("first1", "int").add("first2", "int"))
+@F.udtf(returnType=_row(op=int, kind=str, len=int, first1=int, first2=int))
 class ParseCigar:
     """The operations of a CIGAR text, and the first residue of both sequences in each, from 1-based starts."""
 
@@ -44,7 +49,7 @@ class ParseCigar:
             j += int(size) if kind != "I" else 0
 
 
-@F.udtf(returnType=StructType().add("col", "int").add("i", "int").add("j", "int"))
+@F.udtf(returnType=_row(col=int, i=int, j=int))
 class ExpandAlignment:
     """The columns of an alignment array (partner of each residue, -1 for none): a jump opens a gap in the first, unless a gap precedes it."""
 
