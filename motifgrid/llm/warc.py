@@ -1,11 +1,12 @@
 """Operator 6: WARC archives, and the normaliser of archives that are one gzip stream.
 
-`write_archives` makes archives of about ARCHIVE_BYTES of records, each compressed as one stream. The normaliser
-(`normalise`) inflates such a stream once, from front to end, compresses every record as a member of
-its own, and writes a sidecar index of offsets. `read_records` reads records through the index, member
-by member. Archives are files of the shared folder, one in each folder `archive=...`: Spark's text
-sink writes the bytes of one row, and an empty gzip member as line end, so the files are valid gzip on
-any store that Spark can write to.
+`write_archives` writes the records of each task as one monolithic archive: Spark's text sink compresses the file as a single stream. The
+normaliser (`normalise`) reads such archives as Spark reads any .gz text: a file is inflated once, from front to end, by one task, and arrives in
+lines, so an archive of any size takes the memory of its largest record. Records are put together from the lines by their
+lengths, each is compressed as a member of its own, and members fill volumes of about VOLUME_BYTES of records with a sidecar index of
+offsets. `read_records` reads records through the index, member by member. Volumes are files of the shared
+folder, one in each folder `archive=...`: the text sink writes the bytes of one row, and an empty gzip member as line end, so the
+files are valid gzip on any store that Spark can write to.
 
 Of equal payloads (by SHA-1 and length) the one with the smallest page_id is the response, the
 others are revisit records without a payload. The equal payloads of one digest may be many: digests
@@ -14,7 +15,8 @@ are counted with partial sums, and only those that occur twice or more are joine
 Defined results: null html is an empty payload, and empty payloads are equal; rows that repeat the
 smallest page_id are responses too; a null page_id is larger than all others, and refers to the
 smallest if there is one; a null url becomes urn:page:<id>; line ends in a url become spaces; other
-columns are left out; an empty table gives no archives and no rows.
+columns are left out; an empty table gives no records and no rows. An archive that is cut off, or holds something
+else between its records, fails the job.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, pieces, written
 
-ARCHIVE_BYTES, SALTS, LEVEL = 8 << 20, 64, 6
+VOLUME_BYTES, SALTS, LEVEL = 8 << 20, 64, 6
 DATE, PROFILE = "2024-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A gzip member that holds nothing.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
@@ -76,46 +79,35 @@ def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def records(stream: Iterator[bytes]) -> Iterator[bytes]:
-    """The records of an inflated stream that comes in parts."""
+    """The records of an inflated stream that comes in parts; archives may follow each other."""
     held, need = bytearray(), None
     for part in stream:
         held += part
+        at = 0
         while True:
             if need is None:
-                end = held.find(b"\r\n\r\n")
+                end = held.find(b"\r\n\r\n", at)
                 if end < 0:
                     break
-                sizes = [x for x in bytes(held[:end]).lower().split(b"\r\n") if x.startswith(b"content-length:")]
-                need = end + 4 + int(sizes[0].partition(b":")[2]) + 4
-            if len(held) < need:
+                head = bytes(held[at:end])
+                sizes = [x for x in head.lower().split(b"\r\n") if x.startswith(b"content-length:")]
+                if not head.startswith(b"WARC/") or not sizes:
+                    raise ValueError("an archive holds something else between its records")
+                need = end + 4 - at + int(sizes[0].partition(b":")[2]) + 4
+            if len(held) - at < need:
                 break
-            yield bytes(held[:need])
-            del held[:need]
-            need = None
+            yield bytes(held[at : at + need])
+            at, need = at + need, None
+        del held[:at]
     if held.strip():
         raise ValueError("an archive ends inside a record")
 
 
-def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The contents of gzip members that follow each other, in parts of bounded size."""
-    open_, left = zlib.decompressobj(_GZIP), data
-    while left:
-        part = open_.decompress(left, step)
-        if part:
-            yield part
-        if open_.eof:
-            left, open_ = open_.unused_data, zlib.decompressobj(_GZIP)
-        else:
-            left = open_.unconsumed_tail
-            if not left and not part:
-                raise ValueError("an archive is cut off")
-            if not left:
-                rest = open_.flush()
-                if rest:
-                    yield rest
-                if not open_.eof:
-                    raise ValueError("an archive is cut off")
-                left, open_ = open_.unused_data, zlib.decompressobj(_GZIP)
+def lines_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """The bytes of lines that were split at line feeds."""
+    for batch in batches:
+        if n := batch.num_rows:
+            yield pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column("line")), b"\n")[0].as_py() + b"\n"
 
 
 def deflated(data: bytes) -> bytes:
@@ -133,38 +125,39 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Archives of one gzip stream each, of the records of all pages."""
-    schema = pa.schema([("archive", pa.string()), ("value", pa.binary())])
+    """Archives of one gzip stream each, of the records of all pages: one for each task that has any."""
+    schema = pa.schema([("value", pa.string())])
 
     def run(batches):
-        task, n, size = TaskContext.get().partitionId(), 0, 0
-        made, out = zlib.compressobj(LEVEL, zlib.DEFLATED, _GZIP), []
         for batch in pieces(batches, "html"):
-            for row in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "first")), strict=True):
-                data = record(*row)
-                out.append(made.compress(data))
-                size += len(data)
-                if size >= ARCHIVE_BYTES:
-                    yield batch_of(schema, archive=[f"a{task:07d}-{n:05d}"], value=[b"".join(out) + made.flush()])
-                    made, out, n, size = zlib.compressobj(LEVEL, zlib.DEFLATED, _GZIP), [], n + 1, 0
-        if size:
-            yield batch_of(schema, archive=[f"a{task:07d}-{n:05d}"], value=[b"".join(out) + made.flush()])
+            rows = zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "first")), strict=True)
+            yield batch_of(schema, value=pa.array([record(*row)[:-1] for row in rows], pa.binary()).cast(pa.string()))  # the sink ends it with a line feed
 
-    _to_files(record_types(pages).mapInArrow(run, "archive string, value binary"), path)
+    record_types(pages).mapInArrow(run, "value string").write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
-def normalise(spark: SparkSession, source: str, target: str, index: str) -> None:
-    """Rewrites the archives at `source`, a member for each record, with an index of offsets."""
+def normalise(spark: SparkSession, source: str, target: str, index: str, volume_bytes: int = VOLUME_BYTES) -> None:
+    """Rewrites the archives (.gz) at `source`, a member for each record, with an index of offsets."""
     schema = pa.schema([("archive", pa.string()), ("value", pa.binary()), ("offsets", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
-                members = [deflated(x) for x in records(inflated(content.as_py()))]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in members])]).tolist()
-                yield batch_of(schema, archive=[archive], value=[b"".join(members)], offsets=[offsets])
-
-    made = written(_files(spark, source).mapInArrow(run, "archive string, value binary, offsets array<long>"), "warc-members", "none")
+        task, n, size, members = TaskContext.get().partitionId(), 0, 0, []
+
+        def volume():
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in members])]).tolist()
+            return batch_of(schema, archive=[f"a{task:07d}-{n:05d}"], value=[b"".join(members)], offsets=[offsets])
+
+        for x in records(lines_joined(batches)):
+            members.append(deflated(x))
+            size += len(x)
+            if size >= volume_bytes:
+                yield volume()
+                n, size, members = n + 1, 0, []
+        if members:
+            yield volume()
+
+    lines = spark.read.option("lineSep", "\n").text(source).select(F.col("value").cast("binary").alias("line"))
+    made = written(lines.mapInArrow(run, "archive string, value binary, offsets array<long>"), "warc-members", "none")
     _to_files(made, target)
     made.select("archive", "offsets").write.option("compression", "zstd").parquet(index)
 

@@ -281,15 +281,37 @@ def test_warc(spark):
         files = [f.path for f in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(path, recursive=True)) if "/part-" in f.path]
         with open(files[0], "rb") as f:
             data = f.read()
-        assert gzip.decompress(data).startswith(b"WARC/1.1") and (data.count(b"\x1f\x8b\x08") > 2) == (members or data.count(b"\x1f\x8b\x08") > 2)
+        whole = gzip.decompress(data)
+        assert whole.startswith(b"WARC/1.1") and (data.count(b"\x1f\x8b\x08") > 1) == members and files[0].endswith(".gz") != members
 
 
 def test_warc_streams():
-    made = [warc.record(i, None, b"x" * i, None) for i in range(50)]
-    whole = gzip.compress(b"".join(made)) + warc.EMPTY_MEMBER
-    assert list(warc.records(warc.inflated(whole, 64))) == made
-    with pytest.raises(ValueError):
-        list(warc.records(warc.inflated(whole[:100])))
+    made = [warc.record(i, None, b"x\n\r\n" * i, None) for i in range(50)]
+    whole = b"".join(made)
+    for step in (1, 7, 1000):
+        assert list(warc.records(whole[i : i + step] for i in range(0, len(whole), step))) == made
+    for bad in (whole[:-100], whole + b"other\r\n\r\n", whole[50:]):
+        with pytest.raises(ValueError):
+            list(warc.records([bad]))
+
+
+def test_warc_archive_of_another_writer(spark, tmp_path):
+    """One gzip stream of many records, and one of several members, in volumes of a few records; bytes of all kinds in the payloads."""
+    r = random.Random(3)
+    made = [(i, r.choice(["\n", "\r\n\r\n", "\n\n\n", "é" * 50]) * r.randrange(60) + f"<p>{i}</p>") for i in range(200)] + [(500, "y\n" * 200_000), (501, "")]
+    data = [warc.record(i, f"http://x/{i}", h.encode(), None) for i, h in made]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.warc.gz").write_bytes(gzip.compress(b"".join(data[:150])))
+    (tmp_path / "in" / "two.warc.gz").write_bytes(b"".join(map(gzip.compress, data[150:])))
+    target, index = (new_path(spark, x) for x in ("t", "i"))
+    warc.normalise(spark, f"file://{tmp_path}/in", target, index, volume_bytes=20_000)
+    got = warc.read_records(spark, target, index).collect()
+    assert sorted((x.page_id, x.payload_bytes, x.payload_digest) for x in got) == sorted((i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, h in made)
+    offsets = [x.offsets for x in spark.read.parquet(index).collect()]
+    assert len(offsets) > 3 and sum(len(x) - 1 for x in offsets) == len(made)
+    (tmp_path / "in" / "three.warc.gz").write_bytes(gzip.compress(data[0][:-30]))
+    with pytest.raises(Exception, match="inside a record"):
+        warc.normalise(spark, f"file://{tmp_path}/in/three.warc.gz", new_path(spark, "t"), new_path(spark, "i"))
 
 
 def components(sets, links=None):
