@@ -136,6 +136,11 @@ def score_distribution(back: DataFrame, matrix: DataFrame) -> DataFrame:
     return span.join(d, "score", "left").select("score", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
+def sizes(rows: DataFrame, key: str) -> DataFrame:
+    """key, n."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"))
+
+
 def histogram(values: DataFrame, bins: int = 100) -> DataFrame:
     """bin, n of x in [0, 1]."""
     return values.groupBy(F.least(F.floor(F.col("x") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -121,6 +121,29 @@ def best_of(rows: DataFrame, metrics_: list[str], *ties: str) -> DataFrame:
     return one.select("x.*")
 
 
+def geometric_mean(a: Column, b: Column) -> Column:
+    """Null where the product is negative."""
+    return F.when(a * b >= 0, F.sqrt(F.abs(a * b)))
+
+
+def mean_squared_error(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.agg(F.avg(F.pow(F.col(a) - F.col(b), 2)).alias("mse"))
+
+
+def best_per_group(rows: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+    """The row of each group with the largest value, the least `tie` of equals; a partial aggregate, not a window."""
+    names = [k for k in rows.columns if k != group]
+    first = F.min_by(F.struct(*names), F.struct(F.col(value).isNull(), -F.col(value), tie)).alias("x")
+    return rows.groupBy(group).agg(first).select(group, "x.*")
+
+
+def running_calibration(rows: DataFrame, key: str, order: str, gap: str, unit: int) -> DataFrame:
+    """rows with running and overall: the mean of gaps (whole numbers of 1 / unit, so that their order doesn't matter) up to each row of a key, and of all of them."""
+    w = W.partitionBy(key)
+    mean = lambda over: F.sum(gap).over(over).cast("double") / unit / F.count("*").over(over)
+    return rows.withColumn("running", mean(w.orderBy(order).rowsBetween(W.unboundedPreceding, 0))).withColumn("overall", mean(w))
+
+
 def best(rows: DataFrame, metric: str, *ties: str) -> DataFrame:
     """The row with the largest metric; ties go to the least of `ties`."""
     return rows.orderBy(F.desc_nulls_last(metric), *ties).limit(1)

@@ -49,6 +49,59 @@ def key_differences(one: DataFrame, two: DataFrame) -> DataFrame:
     return one.exceptAll(two).withColumn("side", F.lit("left")).unionByName(two.exceptAll(one).withColumn("side", F.lit("right")))
 
 
+def of_split(rows: DataFrame, splits: DataFrame, key: str, split: str) -> DataFrame:
+    """Rows whose key belongs to a split (key, split)."""
+    return rows.join(splits.filter(F.col("split") == split).select(key), key, "left_semi")
+
+
+def common_names(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Distinct names (one column) that both lists hold."""
+    return one.intersect(two)
+
+
+def names_without(lists: list[DataFrame], bad: DataFrame) -> DataFrame:
+    """Distinct names of any of the lists (one column) that aren't bad."""
+    whole = gathered(lists).distinct()
+    return without_names(whole, bad, *whole.columns)
+
+
+def pair_names(pairs: DataFrame) -> DataFrame:
+    """prot_id: every name that pairs (prot1, prot2) hold, once."""
+    return pairs.select(F.col("prot1").alias("prot_id")).union(pairs.select("prot2")).distinct()
+
+
+def gathered(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all frames of equal columns; a row that several hold stays as often."""
+    out, *rest = frames
+    for x in rest:
+        out = out.unionByName(x)
+    return out
+
+
+def merged_sets(rows: DataFrame, key: str, value: str, *conditions: Column) -> DataFrame:
+    """key, merged: the sorted union of the sets of values that meet each condition; empty where none does."""
+    sets = [F.collect_set(F.when(c, F.col(value))) for c in conditions]
+    d = rows.groupBy(key).agg(*[x.alias(f"__s{i}") for i, x in enumerate(sets)])
+    return d.select(key, F.array_sort(F.array_distinct(F.flatten(F.array(*[f"__s{i}" for i in range(len(sets))])))).alias("merged"))
+
+
+def with_given(computed: DataFrame, given: DataFrame) -> DataFrame:
+    """pair, given, computed, for pairs that have both."""
+    return given.select("pair", "given").join(computed.select("pair", "computed"), "pair")
+
+
+def methods_compared(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """pair, a, b and diff of values (pair, method, value), for pairs that both methods have."""
+    d = rows.filter(F.col("method").isin(a, b)).groupBy("pair").pivot("method", [a, b]).agg(F.sum("value"))
+    return d.toDF("pair", "a", "b").filter("a is not null and b is not null").withColumn("diff", F.col("a") - F.col("b"))
+
+
+def permuted(counts: DataFrame, order: DataFrame) -> DataFrame:
+    """A matrix (a, b, n) with its letters renamed by order (old, new), an alphabet's table."""
+    one, two = F.broadcast(order.toDF("a", "__a")), F.broadcast(order.toDF("b", "__b"))
+    return counts.join(one, "a").join(two, "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"), "n")
+
+
 def chunks(names: DataFrame, order: str, size: int = 10, group: str | None = None) -> DataFrame:
     """names with chunk: `size` names each, in order (within the group, else of all names: a name list)."""
     d = placed_within(names, [group], order) if group else placed(names, order)

@@ -194,7 +194,7 @@ def spearman(spark, d):
 
 @query(f"WITH {_M} SELECT open, extend, CASE WHEN rho * mean >= 0 THEN round(sqrt(rho * mean), 6) END AS geo_mean FROM MT")
 def geo_mean(spark, d):
-    return _table(spark, d).select("open", "extend", F.when(F.col("rho") * F.col("mean") >= 0, r6(F.sqrt(F.abs(F.col("rho") * F.col("mean"))), "g")).alias("geo_mean"))
+    return _table(spark, d).select("open", "extend", r6(rk.geometric_mean(F.col("rho"), F.col("mean")), "geo_mean"))
 
 
 @query(f"WITH {_M} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS metric, open, extend, round({m}, 6) AS value FROM MT ORDER BY {m} DESC, open, extend LIMIT 1)" for m in ("mean", "median", "rho")))
@@ -242,7 +242,7 @@ def perplexity(spark, d):
 
 @query("SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label")
 def cluster_sizes(spark, d):
-    return read(spark, d, "embeddings").groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("n"))
+    return ct.sizes(read(spark, d, "embeddings").withColumnRenamed("label", "cluster"), "cluster")
 
 
 @query("SELECT round(sum(l_discount) / count(*) * (3566 * 100.0 / 5000), 6) AS l_discount FROM lineitem")
@@ -264,20 +264,20 @@ _GAP = "CAST(sum(CAST(round((value - 50) * 10000) AS BIGINT)) OVER ({0}) AS DOUB
 @query(f"WITH {L} SELECT prot_id, pos, round({_GAP.format('PARTITION BY prot_id ORDER BY pos ROWS UNBOUNDED PRECEDING')} + 1e-9, 4) AS running, round({_GAP.format('PARTITION BY prot_id')} + 1e-9, 4) AS overall FROM L")
 def calibration_running(spark, d):
     """Sums are of whole ten-thousandths, so that their order doesn't matter; 1e-9 keeps means off the halves, which engines round differently."""
-    x, w = letters(spark, d).withColumn("gap", F.round((F.col("value") - 50) * 10000).cast("long")), W.partitionBy("prot_id")
-    mean = lambda over, name: (F.round(F.sum("gap").over(over).cast("double") / 10000 / F.count("*").over(over) + 1e-9, 4) + 0.0).alias(name)
-    return x.select("prot_id", "pos", mean(w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0), "running"), mean(w, "overall"))
+    x = letters(spark, d).withColumn("gap", F.round((F.col("value") - 50) * 10000).cast("long"))
+    x = rk.running_calibration(x, "prot_id", "pos", "gap", 10_000)
+    return x.select("prot_id", "pos", *[(F.round(F.col(k) + 1e-9, 4) + 0.0).alias(k) for k in ("running", "overall")])
 
 
 @query(f"WITH {P} SELECT round(avg((va - vb) * (va - vb)), 4) AS mse FROM P")
 def mse(spark, d):
-    return aligned(spark, d).agg(F.round(F.avg(F.pow(F.col("va") - F.col("vb"), 2)), 4).alias("mse"))
+    return rk.mean_squared_error(aligned(spark, d), "va", "vb").select(F.round("mse", 4).alias("mse"))
 
 
 @query("WITH X AS (SELECT c_mktsegment AS method, c_nationkey AS run, round(avg(c_acctbal), 4) AS sfam FROM customer GROUP BY 1, 2) SELECT method, run, sfam FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY sfam DESC, run) AS n FROM X) WHERE n = 1")
 def best_per_method(spark, d):
     x = read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("method"), F.col("c_nationkey").alias("run")).agg(F.round(F.avg("c_acctbal"), 4).alias("sfam"))
-    return x.withColumn("n", F.row_number().over(W.partitionBy("method").orderBy(F.desc("sfam"), "run"))).filter("n = 1").drop("n")
+    return rk.best_per_group(x, "method", "sfam", "run")
 
 
 _TB = "X AS (SELECT o_custkey AS pair, round(max(o_totalprice) - min(o_totalprice), 2) AS diff FROM orders GROUP BY 1)"

@@ -55,7 +55,7 @@ def missing_names(spark, d):
 @query("SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING'")
 def split_filter(spark, d):
     split = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_mktsegment") == "BUILDING", "validation").otherwise("train").alias("split"))
-    return read(spark, d, "orders").join(split, "o_custkey").filter("split = 'train'").select("o_orderkey", "o_custkey")
+    return rl.of_split(read(spark, d, "orders"), split, "o_custkey", "train").select("o_orderkey", "o_custkey")
 
 
 @query(f"WITH {_PR}, Q AS (SELECT prot_id FROM PR WHERE len > 75) SELECT prot1, prot2 FROM PP WHERE prot1 NOT IN (SELECT prot_id FROM Q) AND prot2 NOT IN (SELECT prot_id FROM Q)")
@@ -83,14 +83,13 @@ def guard_bad_pair(spark, d):
 @query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier")
 def query_intersect(spark, d):
     a = read(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
-    return a.intersect(read(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+    return rl.common_names(a, read(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT DISTINCT k FROM (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 UNION ALL SELECT o_custkey FROM orders) WHERE k NOT IN (SELECT s_suppkey FROM supplier)")
 def refs_union(spark, d):
     a = read(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
-    all_ = a.unionByName(read(spark, d, "orders").select(F.col("o_custkey").alias("k"))).distinct()
-    return rl.without_names(all_, read(spark, d, "supplier").select("s_suppkey"), "k").select("k")
+    return rl.names_without([a, read(spark, d, "orders").select(F.col("o_custkey").alias("k"))], read(spark, d, "supplier").select("s_suppkey"))
 
 
 @query("(SELECT k, 'left' AS side FROM (SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT DISTINCT o_custkey FROM orders)) UNION ALL (SELECT k, 'right' AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer))")
@@ -100,8 +99,7 @@ def key_diff(spark, d):
 
 @query(f"WITH {_PR} SELECT DISTINCT p AS prot_id FROM (SELECT prot1 AS p FROM PP UNION ALL SELECT prot2 FROM PP)")
 def distinct_names(spark, d):
-    p = _pairs(spark, d)
-    return p.select(F.col("prot1").alias("prot_id")).union(p.select("prot2")).distinct()
+    return rl.pair_names(_pairs(spark, d))
 
 
 @query("SELECT c_custkey, c_nationkey, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 10 AS INTEGER) AS chunk FROM customer")
@@ -155,14 +153,14 @@ _MC = "A AS (SELECT o_custkey AS pair, round(sum(o_totalprice), 2) AS a FROM ord
 
 @query(f"WITH {_MC} SELECT pair, a, b, round(a - b, 2) AS diff FROM A JOIN B USING (pair)")
 def method_compare(spark, d):
-    o = read(spark, d, "orders").filter("o_orderstatus in ('F', 'O')").groupBy(F.col("o_custkey").alias("pair")).pivot("o_orderstatus", ["F", "O"]).agg(F.round(F.sum("o_totalprice"), 2))
-    return o.filter("F is not null and O is not null").select("pair", F.col("F").alias("a"), F.col("O").alias("b"), F.round(F.col("F") - F.col("O"), 2).alias("diff"))
+    o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("pair"), F.col("o_orderstatus").alias("method")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    return rl.methods_compared(o, "F", "O").withColumn("diff", F.round("diff", 2))
 
 
 @query("WITH G AS (SELECT l_orderkey AS pair, round(sum(l_extendedprice), 2) AS computed FROM lineitem GROUP BY 1) SELECT o_orderkey AS pair, o_totalprice AS given, computed FROM orders JOIN G ON pair = o_orderkey")
 def given_vs_computed(spark, d):
     g = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair")).agg(F.round(F.sum("l_extendedprice"), 2).alias("computed"))
-    return read(spark, d, "orders").select(F.col("o_orderkey").alias("pair"), F.col("o_totalprice").alias("given")).join(g, "pair")
+    return rl.with_given(g, read(spark, d, "orders").select(F.col("o_orderkey").alias("pair"), F.col("o_totalprice").alias("given")))
 
 
 @query(f"WITH {L} SELECT a.prot_id, a.pos, b.pos AS nbr_pos FROM L a JOIN L b ON a.prot_id = b.prot_id WHERE abs(a.pos - b.pos) > 5 AND abs(a.value - b.value) < 5")
@@ -242,14 +240,13 @@ def seeded_resample(spark, d):
 @query("SELECT event_id, event_type, value FROM events WHERE value < 20 UNION ALL SELECT event_id, event_type, value FROM events WHERE value > 80")
 def multi_file_union(spark, d):
     e = read(spark, d, "events").select("event_id", "event_type", "value")
-    return e.filter("value < 20").unionByName(e.filter("value > 80"))
+    return rl.gathered([e.filter("value < 20"), e.filter("value > 80")])
 
 
 @query("WITH X AS (SELECT user_id, list_sort(list(DISTINCT event_type) FILTER (value < 10)) AS a, list_sort(list(DISTINCT event_type) FILTER (value > 95)) AS b FROM events GROUP BY user_id) SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), ',') AS merged FROM X")
 def merge_sets(spark, d):
-    s = lambda c: F.collect_set(F.when(c, F.col("event_type")))
-    x = read(spark, d, "events").groupBy("user_id").agg(s(F.col("value") < 10).alias("a"), s(F.col("value") > 95).alias("b"))
-    return x.select("user_id", F.array_join(F.sort_array(F.array_union("a", "b")), ",").alias("merged"))
+    x = rl.merged_sets(read(spark, d, "events"), "user_id", "event_type", F.col("value") < 10, F.col("value") > 95)
+    return x.select("user_id", F.array_join("merged", ",").alias("merged"))
 
 
 @query(f"WITH {P} SELECT pair, pos AS i, a AS letter1, b AS letter2 FROM P")
@@ -286,6 +283,4 @@ def csv_name_explode(spark, d):
 @query(f"WITH {P}, N AS (SELECT a, b, count(*) AS n FROM P GROUP BY a, b) SELECT CAST((a * 2) % 5 AS INTEGER) AS a, CAST((b * 2) % 5 AS INTEGER) AS b, n FROM N")
 def matrix_permute(spark, d):
     order = spark.range(5).select(F.col("id").cast("int").alias("old"), (F.col("id") * 2 % 5).cast("int").alias("new"))
-    n = ct.pair_counts(aligned(spark, d))
-    n = n.join(F.broadcast(order.toDF("a", "a2")), "a").join(F.broadcast(order.toDF("b", "b2")), "b")
-    return n.select(F.col("a2").alias("a"), F.col("b2").alias("b"), "n")
+    return rl.permuted(ct.pair_counts(aligned(spark, d)), order)

@@ -16,6 +16,7 @@ from ..functions import vectors as ve
 from ..operators import alignment as al
 from ..operators import counts as ct
 from ..operators import learning as le
+from ..operators import ranking as rk
 from ..operators import relations as rl
 from ..operators import vectors as vo
 from .base import B, L, LETTERS, ORACLE, P, PT, V, aligned, jac, letters, points, query, r6, read, vectors
@@ -460,6 +461,16 @@ def scheme_max(spark, d):
     return x.groupBy("prot1", "prot2").agg(F.max("lddt").alias("lddt"), F.max_by("scheme", F.struct("lddt", -F.col("scheme"))).alias("scheme"))
 
 
+@query()
+def scheme_calibration(spark, d):
+    """Votes for each scheme, over the pairs' count vectors, blurred by the transitions between aligned letters."""
+    held, pairs = _counted(spark, d).withColumnRenamed("letters", "vecs"), _pairs(spark, d)
+    for n in ("1", "2"):
+        pairs = pairs.join(held.toDF(f"prot{n}", f"vecs{n}", f"coords{n}"), f"prot{n}")
+    x = al.scheme_search(pairs, al.CALIBRATION, -1.0, _blur(spark, d))
+    return rk.scheme_votes(x.select(F.struct("prot1", "prot2").alias("pair"), "scheme", F.col("lddt").alias("value"))).select("scheme", r6("votes", "votes"))
+
+
 @query()
 def mi_merge(spark, d):
     """Angle bins merged into letters by mutual information of consecutive items."""

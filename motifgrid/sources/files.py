@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.sequences import masked, parsed_alignment, path_label, residue_letter, reverse_complement
+from ..operators.ordering import placed
 
 #: Fields of an ATOM line (name, first place, length, type).
 ATOM_FIELDS = (("atom", 13, 4, "string"), ("altloc", 17, 1, "string"), ("resname", 18, 3, "string"), ("chain", 22, 1, "string"), ("res_seq", 23, 4, "int"), ("icode", 27, 1, "string"), ("x", 31, 8, "double"), ("y", 39, 8, "double"), ("z", 47, 8, "double"))
@@ -169,11 +170,12 @@ def tensor_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """contig (ascending, from 0 in a file read as one part), header, sequence; white space and digits in sequences go.
+    """contig (from 0, in the order of files and of records in them), header, sequence; white space and digits in sequences go.
 
-    Records are read apart, so a large file is split among tasks.
+    Records are read apart, so a large file is split among tasks; they are numbered by file and place, whatever the splits.
     """
-    d = spark.read.text(path, lineSep="\n>").select(F.monotonically_increasing_id().alias("contig"), F.regexp_replace("value", r"\A>", "").alias("body"))
+    lines = spark.read.text(path, lineSep="\n>").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    d = placed(lines, "file", "block", "at", place="contig").select("contig", F.regexp_replace("value", r"\A>", "").alias("body"))
     head = F.regexp_extract("body", r"\A([^\n]*)", 1)
     return d.select("contig", F.trim(head).alias("header"), F.regexp_replace(F.substr("body", F.length(head) + 2), r"[\s\d]", "").alias("sequence"))
 

@@ -90,3 +90,11 @@ def test_blurry_search_and_codebook(spark, given):
 def test_options():
     got = parser().parse_args(["gap-grid", "--coordinates", "c", "--pairs", "p", "--given", "g", "--out", "o", "--letters", "a", "b", "--matrices", "m", "n", "--weightings", "0.3", "0.7", "--weightings", "0.5", "0.5"])
     assert got.weightings == [[0.3, 0.7], [0.5, 0.5]] and got.letters == ["a", "b"] and len(got.opens) * len(got.extends) == 70
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e, motifgrid.jobs; print(len(e.queries()))"], capture_output=True, text=True, cwd=jobs.__file__.rsplit("/", 2)[0])
+    assert int(done.stdout.split()[-1]) > 100, done.stderr

@@ -107,6 +107,28 @@ def test_settings_reports_and_arrays(spark, tmp_path):
     assert files.values_by_size(spark, str(tmp_path / "DIM*")).first().asDict() == {"n": 20, "values": [0.8, 0.9]}
 
 
+def test_fasta_numbers_follow_files_and_places(spark, tmp_path):
+    for name, n in (("b.fa", 40), ("a.fa", 30)):
+        (tmp_path / name).write_text("".join(f">{name}{i:02d}\n{'ACGT' * 20}\n" for i in range(n)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("600b", kept):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            got = {r.contig: r.header for r in files.fasta(spark, str(tmp_path)).collect()}
+            assert got == {i: x for i, x in enumerate([f"a.fa{i:02d}" for i in range(30)] + [f"b.fa{i:02d}" for i in range(40)])}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_cigar_and_tensor_tables(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("a\tb\t1\t3\t2M1D\nc\td\tx\t1\t5M\n")
+    assert [tuple(r) for r in files.cigars(spark, str(tmp_path / "c.tsv")).orderBy("prot1").collect()] == [("a", "b", 1, 3, "2M1D"), ("c", "d", None, 1, "5M")]
+    d = spark.createDataFrame([([float(i)], [float(-i)]) for i in range(30)], "x array<float>, y array<float>")
+    d.write.parquet(str(tmp_path / "t"))
+    got = [(r.x[0], r.y[0]) for r in files.tensor_pairs(spark, str(tmp_path / "t")).collect()]
+    assert sorted(got) == [(float(i), float(-i)) for i in range(30)] and got != sorted(got)
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "f.fa").write_text(">one x\nACGT 10\nNNAC\n>two\nTT\n")
     d = files.fasta(spark, str(tmp_path / "f.fa"))
