@@ -8,9 +8,10 @@ go through full adders (three in, a sum and a carry out) until each weight has o
 slice downward the best rows are selected; rows within the error bound of the last of them are the
 boundary, and are scored exactly.
 
-Queries are a stated set and grow with the table, so they aren't broadcast: blocks of QUERY_ROWS
-queries are joined to every shard by the shard's number, and a shard answers k rows to a query. The
-k best of each query come from these.
+Queries are a stated set and grow with the table, so they are neither broadcast nor copied to every shard by a
+shuffle: shards and blocks of queries are written tables, and each task of their product reads a few files of
+either. A block has QUERY_ROWS queries, more (to MOST_QUERY_ROWS) where there are many, so that a shard is handed
+over less often. A shard answers k rows to a query, and the k best of each query come from these.
 
 Defined results: a row whose vector is null, or holds a null or a component that isn't finite
 takes no part, nor does one without vec_id; shorter vectors, empty ones too, count as if padded with zeros. Values are
@@ -37,6 +38,8 @@ SUM_BITS = 62
 #: Scores are ranked by so large a number at most.
 WIDEST = 10**38 - 1
 SHARD_ROWS, QUERY_ROWS, DROPPED = 4096, 64, 2
+#: Queries of a block at most, and pairs of shard and block that are enough to keep tasks busy.
+MOST_QUERY_ROWS, ENOUGH_CELLS = 2048, 512
 
 
 def quantised(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -179,14 +182,13 @@ def answered(numbers: np.ndarray, ids: np.ndarray, index: Index, row: int, query
     return ids[rows][order], [int(scores[i]) for i in order]
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query; both are rows of `quantised`."""
     shards, parts = packed_blocks(rows, shard_rows)
     shards = written(shards, "bit-sliced-shards", "none")
+    query_rows = query_rows or max(QUERY_ROWS, min(MOST_QUERY_ROWS, queries.count() * parts // ENOUGH_CELLS))
     blocks, _ = packed_blocks(queries, query_rows)
     blocks = written(blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "held", "dims")]), "bit-sliced-queries", "none")
-    # a stated query set against all rows, in blocks: each block goes once to each shard
-    dealt = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     schema = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("wide", pa.string())])
 
     def run(batches):
@@ -205,7 +207,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHA
                 n = [len(x) for x, _ in found]
                 yield batch_of(schema, row=np.repeat(own, n), query_id=np.repeat(asked, n), vec_id=np.concatenate([x for x, _ in found]), wide=[str(max(-WIDEST, min(WIDEST, s))) for _, x in found for s in x])
 
-    near = dealt.join(shards, "block").sortWithinPartitions("block").select("block", "rows", "ids", "held", "dims", "q_rows", "q_ids", "q_held", "q_dims")
+    # a product by partitions: a task goes through its blocks of queries shard by shard; the hint keeps Spark from collecting a side on the driver
+    near = shards.hint("shuffle_replicate_nl").crossJoin(blocks).select("block", "rows", "ids", "held", "dims", "q_rows", "q_ids", "q_held", "q_dims")
     near = near.mapInArrow(run, "row long, query_id long, vec_id long, wide string").withColumn("wide", F.col("wide").cast("decimal(38,0)"))
     order = W.partitionBy("row").orderBy(F.desc("wide"), "vec_id")
     score = F.least(F.greatest("wide", F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")

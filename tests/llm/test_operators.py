@@ -252,6 +252,14 @@ def test_bit_sliced_large_values_and_repeated_ids(spark):
     assert Counter(tuple(r) for r in bit_sliced.top_k(q, q.filter("vec_id % 50 = 0"), 5, 4, 2).collect()) == want
 
 
+def test_bit_sliced_queries_are_not_broadcast(spark):
+    """However small the files of the queries are: copies of them, one a shard, outgrow any driver."""
+    made = [(i, [float(i % 7), float(i % 5)]) for i in range(400)]
+    q = bit_sliced.quantised(spark.createDataFrame(made, "vec_id long, embedding array<double>"))
+    plan = bit_sliced.top_k(q, q.filter("vec_id % 50 = 0"), 5, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+
+
 def test_warc_of_no_pages(spark):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     source, target, index = (new_path(spark, x) for x in ("s", "t", "i"))
