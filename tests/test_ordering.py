@@ -109,3 +109,16 @@ def test_medoids_and_counts_of_pairs(spark, monkeypatch):
     got = {x.cluster: (x.far, x.medoid) for x in vo.cluster_medoid(d).collect()}
     assert set(got) == set(medoids) and all(got[c][1] == medoids[c][1] and abs(got[c][0] - medoids[c][0]) < 1e-6 for c in medoids)
     assert {(x.cluster, x.kind): x.n for x in vo.pairs_over(d, 0.3).collect()} == kinds
+
+
+def test_nearest_values_meet_no_other_rows(spark):
+    """Against sorting all rows for each query: ties in value and in gap, values of queries that no row has, few rows, nulls."""
+    rng = np.random.default_rng(8)
+    for n, k in ((0, 3), (2, 3), (300, 4)):
+        rows = [(i, float(v)) for i, v in enumerate(rng.integers(-20, 20, n))] + [(1000 + i, 5.0) for i in range(9 if n > 2 else 0)]
+        queries = [(i, float(v)) for i, v in enumerate((-50, -3, 0, 0, 5, 7.5, 80))]
+        q = spark.createDataFrame([*queries, (99, None)], "query long, value double")
+        found = od.nearest_values(q, spark.createDataFrame([*rows, (5000, None)], "target long, value double"), k)
+        assert "CartesianProduct" not in plan_of(found)
+        got = sorted((r.query, r["rank"], r.target, r.gap) for r in found.collect())
+        assert got == [(i, at + 1, t, g) for i, v in queries for at, (g, t) in enumerate(sorted((abs(u - v), t) for t, u in rows)[:k])]
