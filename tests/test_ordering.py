@@ -122,3 +122,21 @@ def test_nearest_values_meet_no_other_rows(spark):
         assert "CartesianProduct" not in plan_of(found)
         got = sorted((r.query, r["rank"], r.target, r.gap) for r in found.collect())
         assert got == [(i, at + 1, t, g) for i, v in queries for at, (g, t) in enumerate(sorted((abs(u - v), t) for t, u in rows)[:k])]
+
+
+def test_sensitivity_and_precision_need_no_pairs_in_shuffles(spark):
+    """Against hits made one by one: equal values, copies, classes of one, and queries without a false positive."""
+    r = random.Random(5)
+    for folds in (3, 1):
+        made = [(i, f"a.{r.randrange(folds)}.{r.randrange(2)}.{r.randrange(2)}", float(r.randrange(30))) for i in range(120)]
+        p = spark.createDataFrame(made, "prot_id long, fam string, value double").cache()
+        q = p.filter("prot_id % 4 = 0")
+        hits = q.select(F.col("prot_id").alias("query"), F.col("value").alias("v")).crossJoin(p.select(F.col("prot_id").alias("target"), "value"))
+        hits = hits.select("query", "target", F.abs(F.col("value") - F.col("v")).alias("gap"))
+        got = rk.first_false_positive_by_gap(p, q)
+        assert sorted(got.collect()) == sorted(rk.first_false_positive(hits, p, F.struct("gap", "target")).collect())
+        assert "Window" not in plan_of(got)
+        x = p.withColumn("fold", F.substring_index("fam", ".", 2))
+        two = rk.precision_recall_of(rk.gaps(x, x.filter("prot_id % 4 = 0"), "fam", "fold").withColumn("score", 20 - F.col("gap")), [1.0, 15.0, 18.5])
+        one = rk.precision_recall(hits.withColumn("score", 20 - F.col("gap")), p, [1.0, 15.0, 18.5])
+        assert np.allclose(sorted(map(tuple, two.collect())), sorted(map(tuple, one.collect())))
