@@ -43,10 +43,11 @@ def _postings(d: DataFrame, least: float, keys: list[str]) -> DataFrame:
     return d.select(*keys, "id", "t", "vec").mapInPandas(run, spec)
 
 
-def _compared(lists: DataFrame, least: float, keys: list[str], sizes: DataFrame) -> DataFrame:
+def _compared(lists: DataFrame, least: float, keys: list[str], sizes: DataFrame, sure: float | None = None) -> DataFrame:
     """The similar pairs of each list (keys, dim): a list is dealt into blocks, and a task compares a pair of blocks.
 
-    dim is -1 for a list of whole vectors; else a pair counts only in the list of its first common component.
+    dim is -1 for a list of whole vectors; else a pair counts only in the list of its first common component. With `sure`, a task gives
+    sim and n in place of pairs: those of `sure` or more are one row with their number, so a task holds no more than a vector's pairs.
     """
     at = [*keys, "dim"]
     sizes = sizes.select(*at, F.ceil(F.sqrt(F.col("n").cast("double")) / _SPREAD).cast("int").alias("blocks"))
@@ -54,7 +55,7 @@ def _compared(lists: DataFrame, least: float, keys: list[str], sizes: DataFrame)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("x"), F.greatest(j, block).alias("y")))
     d = d.select(*at, "id", "vec", "t", block.alias("block"), F.explode(cells).alias("cell")).select(*at, "id", "vec", "t", "block", "cell.x", "cell.y")
-    spec = ", ".join([*[f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys], "a long, b long, sim double"])
+    spec = ", ".join([*[f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys], "a long, b long, sim double" if sure is None else "sim double, n long"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "id"], kind="stable")
@@ -62,7 +63,7 @@ def _compared(lists: DataFrame, least: float, keys: list[str], sizes: DataFrame)
         mine, other = frame[frame["block"] == x], frame[frame["block"] == y]
         v, ids, t = np.stack(other["vec"].to_numpy()).astype(float) if len(other) else None, other["id"].to_numpy(), other["t"].to_numpy()
         held = v[:, : max(dim, 0)] > 0 if len(other) else None
-        found = []
+        found, many, border = [], 0, []
         for i, (one, vec, size) in enumerate(zip(mine["id"], mine["vec"], mine["t"], strict=True)) if len(other) else ():
             lo, hi = np.searchsorted(t, size * least * (1 - _SLACK)), np.searchsorted(t, size / least * (1 + _SLACK), side="right")
             lo = max(int(lo), i + 1) if x == y else int(lo)
@@ -73,9 +74,13 @@ def _compared(lists: DataFrame, least: float, keys: list[str], sizes: DataFrame)
                 at_ = at_[~held[lo:hi, vec[:dim] > 0].any(axis=1)]
             sim = np.minimum(v[at_], vec).sum(axis=1) / np.maximum(v[at_], vec).sum(axis=1)
             at_, sim = at_[sim >= least], sim[sim >= least]
+            if sure is not None:
+                many += int((sim >= sure).sum())
+                border += sim[sim < sure].tolist()
+                continue
             found.append((np.minimum(ids[at_], one), np.maximum(ids[at_], one), sim))
         made = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        out = pd.DataFrame({"a": made[0], "b": made[1], "sim": made[2]})
+        out = pd.DataFrame({"a": made[0], "b": made[1], "sim": made[2]}) if sure is None else pd.DataFrame({"sim": [sure, *border], "n": [many, *[1] * len(border)]})
         for k in reversed(keys):
             out.insert(0, k, frame[k].iloc[0])
         return out
@@ -83,7 +88,7 @@ def _compared(lists: DataFrame, least: float, keys: list[str], sizes: DataFrame)
     return d.groupBy(*at, "x", "y").applyInPandas(run, spec)
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.5, group: str | None = None, index: bool | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float = 0.5, group: str | None = None, index: bool | None = None, sure: float | None = None) -> DataFrame:
     """a < b and sim >= least (over 0) of vectors (id, vec; all of one length, without negative components); with `group`, inside its values only.
 
     The index holds a list for each component in a vector's prefix (see `_postings`); pairs are checked exactly in the list of their first
@@ -92,6 +97,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.5, group: str | None = No
 
     index: None takes the index if its lists give fewer comparisons than all pairs of (a group of) vectors would, which is so where
     components are sparse; the rows are the same either way. The lists are counted, not cut.
+    sure: gives group, sim, n in place of pairs (see `_compared`).
     """
     d = vectors.withColumn("t", total(F.col("vec"))).filter("t > 0")
     keys = [group] if group else []
@@ -102,9 +108,9 @@ def similar_pairs(vectors: DataFrame, least: float = 0.5, group: str | None = No
             square = F.coalesce(F.sum(F.col("n").cast("double") ** 2), F.lit(0.0)).alias("n")
             index = sizes.agg(square).first().n < d.groupBy(*keys).agg(F.count("*").alias("n")).agg(square).first().n
         if index:
-            return _compared(lists, least, keys, sizes)
+            return _compared(lists, least, keys, sizes, sure)
     whole = d.withColumn("dim", F.lit(-1))
-    return _compared(whole, least, keys, whole.groupBy(*keys, "dim").agg(F.count("*").alias("n")))
+    return _compared(whole, least, keys, whole.groupBy(*keys, "dim").agg(F.count("*").alias("n")), sure)
 
 
 def neighbour_graph(pairs: DataFrame, k: int) -> DataFrame:
@@ -121,7 +127,7 @@ def cluster_median(vectors: DataFrame) -> DataFrame:
 
 def pairs_over(vectors: DataFrame, least: float, digits: int = 6) -> DataFrame:
     """cluster, kind, n: how many pairs of a cluster's vectors (cluster, id, vec) have a rounded similarity of `least` or more (edge), and how many haven't (none)."""
-    near = similar_pairs(vectors, least - 10.0**-digits, "cluster").filter(F.round("sim", digits) >= least).groupBy("cluster").agg(F.count("*").alias("edge"))
+    near = similar_pairs(vectors, least - 10.0**-digits, "cluster", sure=least).filter(F.round("sim", digits) >= least).groupBy("cluster").agg(F.sum("n").alias("edge"))
     all_ = vectors.groupBy("cluster").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("pairs"))
     d = joined_groups(all_, near, ["cluster"]).select("cluster", F.coalesce("edge", F.lit(0)).alias("edge"), "pairs")
     kinds = F.array(F.struct(F.lit("edge").alias("kind"), F.col("edge").alias("n")), F.struct(F.lit("none").alias("kind"), (F.col("pairs") - F.col("edge")).alias("n")))

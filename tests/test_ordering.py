@@ -140,3 +140,21 @@ def test_sensitivity_and_precision_need_no_pairs_in_shuffles(spark):
         two = rk.precision_recall_of(rk.gaps(x, x.filter("prot_id % 4 = 0"), "fam", "fold").withColumn("score", 20 - F.col("gap")), [1.0, 15.0, 18.5])
         one = rk.precision_recall(hits.withColumn("score", 20 - F.col("gap")), p, [1.0, 15.0, 18.5])
         assert np.allclose(sorted(map(tuple, two.collect())), sorted(map(tuple, one.collect())))
+
+
+def test_pairs_over_a_floor_leave_tasks_as_numbers(spark):
+    """A row a cell, however many pairs are similar, and the same numbers."""
+    from motifgrid.operators import vectors as vo
+
+    made = [(i, i % 2, [1.0 + (i % 5) / 10, 2.0, 0.0]) for i in range(200)]
+    v = spark.createDataFrame(made, "id long, cluster int, vec array<double>")
+    rows = vo.similar_pairs(v, 0.3 - 1e-6, "cluster", sure=0.3).collect()
+    assert len(rows) < 50 and sum(r.n for r in rows) == 2 * 100 * 99 // 2
+    assert sorted(map(tuple, vo.pairs_over(v, 0.3).collect())) == [(0, "edge", 4950), (1, "edge", 4950)]
+
+
+def test_chunks_are_written_by_one_task_each(spark):
+    from motifgrid.plans import catalog
+
+    x = catalog.QUERIES["query_chunks_write_read"](spark, "/root/testdata/sf0.01")
+    assert len(x.inputFiles()) == x.select("chunk").distinct().count() > 1
