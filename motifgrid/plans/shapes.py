@@ -116,8 +116,7 @@ def jaccard_pairs(spark, d):
 
 @query(f"WITH {V}, E AS (SELECT a.id AS x, b.id AS y, round({jac('a.vec', 'b.vec')}, 6) AS sim FROM V a JOIN V b ON a.id <> b.id WHERE {jac('a.vec', 'b.vec')} >= 0.3), K AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS n FROM E) SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, sim FROM K WHERE n <= 20")
 def knn_graph(spark, d):
-    pairs = vo.similar_pairs(vectors(spark, d), 0.3).select("a", "b", r6("sim", "sim"))
-    return vo.neighbour_graph(pairs, 20)
+    return vo.nearest_neighbours(vectors(spark, d), 0.3, 20)
 
 
 @query(f"WITH {V} SELECT cluster, CASE WHEN sim >= 0.3 THEN 'edge' ELSE 'none' END AS kind, count(*) AS n FROM (SELECT a.cluster, round({jac('a.vec', 'b.vec')}, 6) AS sim FROM V a JOIN V b ON a.cluster = b.cluster AND a.id < b.id) GROUP BY ALL")

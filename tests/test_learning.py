@@ -141,3 +141,46 @@ def test_sparse_vectors_meet_in_few_lists(spark):
     n = [x.n for x in vo._postings(d.withColumn("t", t), 0.5, []).groupBy("dim").agg(F.count("*").alias("n")).collect()]
     assert sum(x * x for x in n) < 0.25 * 600**2
     assert vo.similar_pairs(d, 0.5).count() == vo.similar_pairs(d, 0.5, index=False).count()
+
+
+def test_pairs_are_bounded_before_they_are_taken(monkeypatch):
+    """Few dense pairs are taken exactly, and none is missed: beside brute force, for totals far apart, equal vectors, and components that are all or nothing."""
+    from motifgrid.operators import vectors as vo
+
+    r = np.random.default_rng(8)
+    gauss = np.maximum(r.normal(0, 0.125, (900, 64)), 0)
+    wide = np.abs(r.normal(0, 1, (300, 5))) * 10.0 ** r.integers(-30, 30, (300, 1))
+    for v, least in ((gauss, 0.3), (wide, 0.5), (np.repeat(gauss[:20], 30, axis=0), 0.9), ((r.random((200, 8)) < 0.4) * 1.0, 0.6), (gauss * 1e-200, 0.3), (gauss * 1e150, 0.3)):
+        v = v[v.sum(axis=1) > 0]
+        v = v[np.argsort(v.sum(axis=1), kind="stable")]
+        t, exact = v.sum(axis=1), []
+        for own in (True, False):
+            a, b = (v, v) if own else (v[::2], v[1::2])
+            sim = np.array([np.minimum(x, b).sum(axis=1) / np.maximum(x, b).sum(axis=1) for x in a])
+            want = {(i, j) for i, j in np.argwhere(sim >= least).tolist() if not own or i < j}
+            found = [x for x in vo._near(a, None if own else b, t if own else t[::2], t if own else t[1::2], least, -1)]
+            got = [(i, j) for x, y, _ in found for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+            assert len(got) == len(set(got)) and set(got) == want
+            assert all(np.array_equal(s, sim[x, y]) for x, y, s in found)
+    taken, least_of = [], np.minimum
+    monkeypatch.setattr(vo.np, "minimum", lambda x, y: taken.append(len(x)) or least_of(x, y))
+    v = gauss[np.argsort(gauss.sum(axis=1))]
+    for _ in vo._near(v, None, v.sum(axis=1), v.sum(axis=1), 0.35, -1):
+        pass
+    assert 0 < sum(taken) < 0.02 * 900 * 899 / 2
+
+
+def test_nearest_neighbours_leave_tasks_k_a_node(spark, monkeypatch):
+    """As by all pairs: ties after rounding, copies, and few rows for each node from a task however many are similar."""
+    from motifgrid.operators import vectors as vo
+
+    r = np.random.default_rng(9)
+    vecs = np.concatenate([r.gamma(1.0, size=(120, 5)), np.repeat(r.gamma(1.0, size=(3, 5)), 40, axis=0)])
+    d = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, vec array<double>").repartition(3)
+    monkeypatch.setattr(vo, "_BLOCK_VALUES", 200)
+    for digits in (6, 1):
+        pairs = vo.similar_pairs(d, 0.3).select("a", "b", (F.round("sim", digits) + 0.0).alias("sim"))
+        want = sorted(map(tuple, vo.neighbour_graph(pairs, 7).collect()))
+        assert sorted(map(tuple, vo.nearest_neighbours(d, 0.3, 7, digits).collect())) == want
+    few = vo.similar_pairs(d, 0.3, best=(2, 6)).count()
+    assert 240 * 2 <= few <= 240 * 2 * 6 < pairs.count() / 3  # six blocks
