@@ -184,3 +184,22 @@ def test_nearest_neighbours_leave_tasks_k_a_node(spark, monkeypatch):
         assert sorted(map(tuple, vo.nearest_neighbours(d, 0.3, 7, digits).collect())) == want
     few = vo.similar_pairs(d, 0.3, best=(2, 6)).count()
     assert 240 * 2 <= few <= 240 * 2 * 6 < pairs.count() / 3  # six blocks
+
+
+def test_centres_are_compared_in_few_steps_and_passes(spark, monkeypatch):
+    """A step takes the similarities of a batch centre by centre, and the losses of all kept centres are one pass over the pairs."""
+    from motifgrid.functions import kernels
+
+    r = np.random.default_rng(11)
+    a, b = r.gamma(1.0, size=(500, 6)), r.gamma(1.0, size=(3, 6))
+    want = np.array([[np.minimum(x, y).sum() / np.maximum(x, y).sum() for y in b] for x in a])
+    steps, most = [], np.maximum
+    monkeypatch.setattr(kernels.np, "maximum", lambda *x: steps.append(1) or most(*x))
+    assert np.array_equal(kernels.jaccard_similarity(a, b), want) and len(steps) == 3
+    monkeypatch.undo()
+    d = spark.createDataFrame([([float(k) for k in x], [float(k) for k in y]) for x, y in zip(a[:200], a[200:400], strict=True)], "x array<double>, y array<double>")
+    assert np.allclose(le.whole_losses(d, [b, 2 * b], 20.0), [le.whole_loss(d, c, 20.0) for c in (b, 2 * b)])
+    passes, summed = [], le._summed
+    monkeypatch.setattr(le, "_summed", lambda *x: passes.append(1) or summed(*x))
+    one = le.learned_centres(d, 3, batch=50, steps=10, every=5)
+    assert len(passes) == 1 and np.array_equal(one, le.learned_centres(d.repartition(5), 3, batch=50, steps=10, every=5))
