@@ -203,3 +203,17 @@ def test_centres_are_compared_in_few_steps_and_passes(spark, monkeypatch):
     monkeypatch.setattr(le, "_summed", lambda *x: passes.append(1) or summed(*x))
     one = le.learned_centres(d, 3, batch=50, steps=10, every=5)
     assert len(passes) == 1 and np.array_equal(one, le.learned_centres(d.repartition(5), 3, batch=50, steps=10, every=5))
+
+
+def test_nodes_of_a_part_move_one_after_another():
+    """A part finds both of two joined cliques in one round; a node of another part is seen, and stays."""
+    import pandas as pd
+
+    pairs = [(a, b) for a in range(8) for b in range(8) if a != b and (a // 4 == b // 4 or {a, b} == {3, 4})]
+    own = [p for p in pairs if p[0] < 7]
+    k = np.bincount([a for a, _ in pairs]).astype(float)
+    nodes = pd.DataFrame({"x": range(7), "k": k[:7], "c": range(7), "held": k[:7], "size": 1, "turn": True})
+    y = np.array([b for _, b in own])
+    ends = pd.DataFrame({"x": [a for a, _ in own], "y": y, "w": 1.0, "yc": y, "yheld": k[y], "ysize": 1})
+    found = le._moved_inside(nodes, ends, 1.0, float(k.sum()), 10, 0)
+    assert len(set(found[:4])) == 1 and len(set(found[4:])) == 1 and found[0] != found[4]
