@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, buffers, pieces, texts, written
+from .common import batch_of, buffers, pieces, written
 from .tokens import library_encoder
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 2048, 1024, 4 << 20
@@ -44,27 +44,52 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     Each task adds a row without ids, whose `counts` holds its documents, its tokens, and the documents by token id.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encoder, held, docs_, tokens = library_encoder(vocabulary), np.zeros(1 << 16, np.int64), 0, 0
-        for batch in pieces(batches, "text", 1 << 20):
-            ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode(texts(batch.column("text")))]
-            once = [np.unique(x) for x in ids]
-            width = [2 if x[-1] < 65536 else 4 for x in once]
-            found = np.bincount(np.concatenate(once), minlength=len(held))
-            found[: len(held)] += held
-            held, docs_, tokens = found, docs_ + len(ids), tokens + sum(map(len, ids))
-            yield batch_of(schema, doc_id=batch.column("doc_id"), width=width, ids=[x.astype(f"<u{w}").tobytes() for x, w in zip(ids, width, strict=True)], counts=[None] * len(ids))
+        for batch in pieces(batches, "text"):
+            found, at = encoder.encoded(batch.column("text"))
+            n, at = batch.num_rows, at + np.arange(batch.num_rows + 1)
+            ids, own = np.full(at[-1], end_id, "<u4"), np.ones(at[-1], bool)
+            own[at[1:] - 1] = False
+            ids[own] = found
+            whole = documents_with(ids, at)
+            whole[: len(held)] += held[: len(whole)]
+            held = np.concatenate([whole, held[len(whole) :]])
+            docs_, tokens = docs_ + n, tokens + len(ids)
+            width = np.where(np.maximum.reduceat(ids, at[:-1]) < 65536, 2, 4).astype(np.int32)
+            yield batch_of(schema, doc_id=batch.column("doc_id"), width=width, ids=_column(ids, at, width), counts=pa.nulls(n, pa.binary()))
         if docs_:
             yield batch_of(schema, doc_id=[None], width=[0], ids=[None], counts=[np.concatenate([[docs_, tokens], held]).tobytes()])
 
     return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, width int, ids binary, counts binary"), "packing-ids")
 
 
-def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+def documents_with(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of documents that hold each token id; document i is ids[at[i] : at[i + 1]]."""
+    size = int(ids.max()) + 1
+    kind = np.uint32 if size * len(at) < 1 << 32 else np.int64
+    keys = np.repeat(np.arange(len(at) - 1, dtype=kind) * kind(size), np.diff(at)) + ids.astype(kind)
+    keys.sort()
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return np.bincount(keys[first] % kind(size), minlength=size)
+
+
+def _column(ids: np.ndarray, at: np.ndarray, width: np.ndarray) -> pa.Array:
+    """Documents as a binary column, each in its width."""
+    if (width == width[0]).all():
+        return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer((at * width[0]).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width[0]}"))])
+    return pa.array([ids[a:b].astype(f"<u{w}").tobytes() for a, b, w in zip(at[:-1], at[1:], width, strict=True)], pa.binary())
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents one after another, and where each document's start (n + 1 places)."""
     held, at = buffers(batch.column("ids"))
-    return [held[a:b].view(f"<u{w}").astype(np.int64) for a, b, w in zip(at[:-1], at[1:], batch.column("width").to_pylist(), strict=True)]
+    width = batch.column("width").to_numpy()
+    if (width == width[0]).all():
+        return held.view(f"<u{width[0]}").astype(np.int64), at // width[0]
+    return np.concatenate([held[a:b].view(f"<u{w}").astype(np.int64) for a, b, w in zip(at[:-1], at[1:], width, strict=True)]), np.concatenate([[0], np.cumsum(np.diff(at) // width)])
 
 
 def document_counts(rows: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -95,16 +120,18 @@ def routed(rows: DataFrame, counts) -> DataFrame:
 
     def run(batches):
         held, n = counts.value
-        rank = np.where(held * ROUTED >= n, held, n + 1) * len(held) + np.arange(len(held))  # rarest first, then by id
-        last = (n + 1) * len(held)
+        telling = np.flatnonzero(held * ROUTED >= n)
+        telling = telling[np.argsort(held[telling], kind="stable")]  # rarest first, then by id
+        place = np.full(len(held), len(telling), np.int32)
+        place[telling] = np.arange(len(telling))
+        rank = np.append(held[telling] * len(held) + telling, (n + 1) * len(held))
         for batch in pieces(batches, "ids"):
-            ids = _ids(batch)
-            at = np.cumsum([0, *map(len, ids)])
-            left, routes = rank[np.concatenate(ids)], []
+            ids, at = _ids(batch)
+            left, routes = place[ids], []
             for _ in names:
                 least = np.minimum.reduceat(left, at[:-1])
-                routes.append(np.minimum(least, last))
-                left[left == np.repeat(least, np.diff(at))] = last
+                routes.append(rank[least])
+                left[left == np.repeat(least, np.diff(at))] = len(telling)
             yield batch_of(schema, doc_id=batch.column("doc_id"), width=batch.column("width"), ids=batch.column("ids"), tie=[zlib.crc32(x.as_buffer()) for x in batch.column("ids")], **dict(zip(names, routes, strict=True)))
 
     keyed = rows.filter("ids is not null").select("doc_id", "width", "ids").mapInArrow(run, "doc_id long, width int, ids binary, " + ", ".join(f"{k} long" for k in names) + ", tie long")
@@ -219,7 +246,9 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WIND
             return [batch_of(schema, **columns)] if columns else []
 
         for batch in pieces(batches, "ids"):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), _ids(batch), strict=True):
+            flat, at = _ids(batch)
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = flat[a:b]
                 shard.append((doc, ids))
                 size += len(ids)
                 if len(shard) == shard_docs or size >= SHARD_TOKENS:

@@ -1,13 +1,16 @@
 """Memoised encoding of whole texts.
 
-Byte-level BPE works inside the matches of a splitting pattern, and every such pattern used here starts
-a new match at a single space, or line feed, that stands between two characters that are not white
-space. Texts are cut there into units; a unit's ids never depend on its neighbours. Ids of frequent
-units are kept in a table of bounded size; all other units are encoded each time they occur.
+Byte-level BPE works inside the matches of a splitting pattern, and every such pattern used here ends a
+match before a space or line feed that follows a character which is not white space, after a line feed that
+stands alone, and between runs of letters, of digits and of marks (an apostrophe may take letters behind
+it). Batches are cut there into units by the classes of their bytes; a unit's ids never depend on its
+neighbours. Equal units of a batch are looked up once. Ids of frequent units are kept in a table of bounded
+size; all other units are encoded once for each batch that holds them.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -15,69 +18,103 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
-
-#: Entries of the table of units of one Python worker (about 120 bytes each).
-UNITS_KEPT = 900_000
-#: Marks and letters that every version of Unicode classes alike.
-_MARKS = tuple(".,!?:;")
-_LETTERS = re.compile(r"\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+import pyarrow as pa
+
+from .common import buffers
+from .common import texts as texts_of
+
+#: Entries of the table of units of one Python worker (about 150 bytes each), and the longest unit kept, in bytes.
+UNITS_KEPT, UNIT_BYTES = 900_000, 64
+#: Classes of bytes. _UNSURE: control characters, white space other than space and line feed; no cut stands beside them.
+_UNSURE, _LETTER, _DIGIT, _MARK, _QUOTE, _OTHER, _SPACE, _LINE = range(8)
+#: One match of the pattern each: letters that every version of Unicode classes alike, digits, or marks.
+_ONE = re.compile(r"\n| ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte, and for each pair of classes (first * 8 + second) whether a cut stands between them."""
+    of = np.full(256, _UNSURE, np.uint8)
+    for c in map(chr, range(33, 127)):
+        of[ord(c)] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _QUOTE if c == "'" else _MARK
+    of[ord(" ")], of[ord("\n")], of[128:] = _SPACE, _LINE, _OTHER
+    cut = np.zeros((8, 8), bool)
+    cut[_LETTER : _MARK + 1, _LETTER : _MARK + 1] = ~np.eye(3, dtype=bool)
+    cut[_LETTER : _DIGIT + 1, _QUOTE] = True
+    cut[_LETTER : _OTHER + 1, _SPACE:] = True
+    return of, cut.ravel()
+
+
+_CLASS, _CUT = _classes()
+
+
+def cut_points(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where units start in UTF-8 bytes; `at` holds the starts of texts and the end."""
+    text = np.concatenate([held, np.zeros(3, np.uint8)])
+    kind = _CLASS[text]
+    lead = np.flatnonzero(held >= 0xC2)
+    if len(lead):
+        first, second, third = text[lead], text[lead + 1], text[lead + 2]
+        latin = (first >= 0xC3) & (first <= 0xC8) | (first == 0xC9) & (second <= 0x8F)
+        latin &= (first != 0xC3) | (second != 0x97) & (second != 0xB7)  # U+00C0 to U+024F without the signs of multiplication and division
+        kind[lead[latin]] = kind[lead[latin] + 1] = _LETTER
+        # U+0080 to U+00A0, U+1680, U+180E, U+2000 to U+200F, U+2028 to U+202F, U+2050 to U+206F, U+3000 to U+3003
+        white = (first == 0xC2) & (second <= 0xA0) | (first == 0xE3) & (second == 0x80) & (third <= 0x83)
+        white |= (first == 0xE1) & ((second == 0x9A) & (third == 0x80) | (second == 0xA0) & (third == 0x8E))
+        white |= (first == 0xE2) & ((second == 0x80) & ((third <= 0x8F) | (third >= 0xA8) & (third <= 0xAF)) | (second == 0x81) & (third >= 0x90) & (third <= 0xAF))
+        lead, three = lead[white], first[white] != 0xC2
+        kind[lead] = kind[lead + 1] = _UNSURE
+        kind[lead[three] + 2] = _UNSURE
+    cut = np.zeros(len(text), bool)
+    cut[1:] = _CUT[kind[:-1] * 8 + kind[1:]]
+    line = np.flatnonzero(kind[1 : len(held)] == _LINE) + 1
+    sure = np.array([_LETTER <= k <= _OTHER for k in range(8)])
+    cut[line[sure[kind[line - 1]] & sure[kind[line + 1]]] + 1] = True
+    cut[at] = True
+    return np.flatnonzero(cut[: len(held)])
 
 
 class UnitEncoder:
-    """encode(texts) gives the ids of each text as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives the ids of each text as little-endian unsigned 32-bit integers, encoded(column) those of a column."""
 
     def __init__(self, backend: Callable[[list[str]], list[bytes]], cuts: bool = True, kept: int = UNITS_KEPT, single: Callable[[list[str]], list[bytes]] | None = None):
-        """single: encodes units that are one match of the pattern each (letters, with a space before them or not)."""
+        """single: encodes units that are one match of the pattern each."""
         self.backend, self.cuts, self.kept, self.single = backend, cuts, kept, single or backend
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _units(self, text: str) -> tuple[list[str], list[str]]:
-        """Units without a space before them, then units whose leading space is left out."""
-        words = text.split()
-        if words and len(text) - len("".join(words)) == len(words) - 1:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return [first], rest
-        return _CUT.split(text) if text else [], []
-
-    def _learn(self, units: list[list[str]], known: dict[str, bytes], whole: Callable[[str], str]) -> list[str]:
-        """Encodes the units that aren't known: a mark after letters apart, as the pattern does. Gives those that mustn't be kept."""
-        new = set().union(*units).difference(known)
-        room = self.kept - len(self.spaced) - len(self.plain)
-        letters, other, marked = set(), set(), []
-        for k in new:
-            if k[-1:] in _MARKS and _LETTERS(k, 0, len(k) - 1):
-                marked.append(k)
-                k = k[:-1]
-                (letters if k[0] != "\n" else other).add(k)
-            elif _LETTERS(k) and k[0] != "\n":
-                letters.add(k)
-            else:
-                other.add(k)
-        added = [*letters.difference(known)]
-        known.update(zip(added, self.single([whole(k) for k in added]), strict=True))
-        heads = [*other.difference(known)]
-        known.update(zip(heads, self.backend([whole(k) for k in heads]), strict=True))
-        for k in marked:
-            if (mark := self.marks.get(k[-1])) is None:
-                mark = self.marks[k[-1]] = self.backend([k[-1]])[0]
-            known[k] = known[k[:-1]] + mark
-        added += heads + marked
-        return added[max(0, room) :]
+        self.known: dict[bytes, bytes] = {}
+
+    def _ids(self, units: list[bytes]) -> list[bytes]:
+        out = [*map(self.known.get, units)]
+        new = [i for i, x in enumerate(out) if x is None]
+        text = [units[i].decode() for i in new]
+        one = [_ONE(k) is not None for k in text]
+        for encode, alone in ((self.single, True), (self.backend, False)):
+            some = [k for k, x in zip(text, one, strict=True) if x is alone]
+            for i, x in zip([i for i, x in zip(new, one, strict=True) if x is alone], encode(some) if some else (), strict=True):
+                out[i] = x
+        room = max(0, self.kept - len(self.known))
+        self.known.update([(units[i], out[i]) for i in new if len(units[i]) <= UNIT_BYTES][:room])
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after another, and where each text's ids start (n + 1 places)."""
         if not self.cuts:
-            return self.backend(texts)
-        parts = [self._units(x) for x in texts]
-        spare = self._learn([x for x, _ in parts], self.plain, lambda k: k), self._learn([x for _, x in parts], self.spaced, lambda k: k if k[:1] == "\n" else f" {k}")
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        out = [b"".join(map(plain, head)) + b"".join(map(spaced, tail)) for head, tail in parts]
-        for known, keys in zip((self.plain, self.spaced), spare, strict=True):
-            for k in keys:
-                del known[k]
-        return out
+            out = self.backend(texts_of(column))
+            return np.frombuffer(b"".join(out), "<u4"), np.cumsum([0, *(len(x) // 4 for x in out)])
+        held, at = buffers(column)
+        starts = cut_points(held, at)
+        offsets = np.append(starts, len(held)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
+        of = self._ids(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size, code = np.fromiter(map(len, of), np.int64, len(of)) // 4, units.indices.to_numpy()
+        n = size[code]
+        end = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat((np.cumsum(size) - size)[code] - end[:-1], n)
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(of), "<u4")[place], end[np.searchsorted(starts, at)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, at = self.encoded(pa.array(texts, pa.large_string()))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), strict=True)]
 
 
 _OPEN: dict[tuple, UnitEncoder | WordEncoder] = {}
@@ -86,24 +123,26 @@ _OPEN: dict[tuple, UnitEncoder | WordEncoder] = {}
 def _single(spec: dict) -> Callable[[list[str]], list[bytes]] | None:
     """The same vocabulary without the splitting pattern, for units that the pattern wouldn't split.
 
-    Many units are encoded in one call; each ends with a control character whose entry no merge holds,
-    so its id marks the unit's end. None if there is no such character.
+    Many units are encoded in one call, their bytes written as byte-level vocabularies write them; each ends with a
+    control character whose entry no merge holds, so its id marks the unit's end. None if there is no such character.
     """
     from tokenizers import Tokenizer
 
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    written = "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
     merged = set("".join("".join(x) for x in spec["model"]["merges"]))
-    sign = next((c for c in range(32) if chr(256 + c) not in merged and chr(256 + c) in spec["model"]["vocab"]), None)  # byte-level: byte c is written as 256 + c
+    sign = next((chr(c) for c in range(32) if written[c] not in merged and written[c] in spec["model"]["vocab"]), None)
     if sign is None:
         return None
-    split = spec["pre_tokenizer"] | {"use_regex": False}
-    held = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": split, "post_processor": None, "added_tokens": []}))
-    end, mark = chr(sign), spec["model"]["vocab"][chr(256 + sign)]
+    held = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+    end, mark = written[ord(sign)], spec["model"]["vocab"][written[ord(sign)]]
 
     def single(units: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(units), 4096):
-            some = [k + end for k in units[at : at + 4096]]
-            ids = np.array(held.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        for at in range(0, len(units), 512):
+            some = codecs.charmap_decode(sign.join(units[at : at + 512]).encode(), "strict", written)[0].split(end)
+            ids = np.array(held.encode_batch_fast([[k + end for k in some]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             data, start = ids.tobytes(), 0
             for stop in (np.flatnonzero(ids == mark) * 4).tolist():
                 out.append(data[start:stop])

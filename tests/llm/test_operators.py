@@ -206,6 +206,48 @@ def test_packing(spark, docs, rows, empty):
     assert packing.packed(empty, LIBRARY).count() == 0
 
 
+def test_units_are_encoded_once():
+    """Words are encoded apart from the marks, digits and line feeds beside them, and once, however many forms they come in."""
+    held, taken = tokens.library_encoder(LIBRARY), []
+    counted = tokens.UnitEncoder(held.backend, single=lambda units: taken.extend(units) or held.single(units))
+    words = [a + b + c for a in "abc" for b in "uvé" for c in ("th", "er", "on")]
+    made = ["\n".join(f"{w}{m} {w}{m}{i}" for w in words) for i, m in enumerate([".", ",", "!!", "***", ",%%%", "@", ":", "?"])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in counted.encode(made)] == library_ids(made)
+    assert len(taken) == len(set(taken)) <= 2 * len(words) + 8 + 8 + 1
+
+
+def test_units_of_odd_columns():
+    """Cuts by classes of bytes change no id: signs, white space of all kinds, contractions, other scripts, slices, nulls."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    atoms = ["a", "b", "Ab", "\u00e9", "\u00d7", "\u00f7", "\u024f", "\u0250", "\u03a9", "\u65e5", "\u00bd", "\u0663", "'", "'s", "'ll", "'t", "\u2019", "\u201c", "\u2026", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x00", "\x7f"]
+    atoms += ["\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000", ".", ",", "***", "1", "23", "\U0001f642", "e\u0301", "_", "@", "<|endoftext|>"] + [" "] * 6
+    made = ["".join(r.choice(atoms) for _ in range(r.randint(0, 12))) for _ in range(4000)] + [None, ""]
+    held = tokens.library_encoder(LIBRARY)
+    for kind, first in ((pa.string(), 0), (pa.large_string(), 5)):
+        ids, at = held.encoded(pa.array(made, kind)[first:])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library_ids(made[first:])
+    assert [len(x) for x in held.encoded(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_documents_in_columns():
+    """Counts by token id and the written form, with ids of both widths."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, top, n).astype("<u4") for top, n in ((50, 80), (70_000, 40), (5, 1), (300, 300))]
+    for some in (docs, docs[2:], docs[1:2]):
+        at = np.cumsum([0, *map(len, some)])
+        counts, want = packing.documents_with(np.concatenate(some), at), Counter(int(k) for x in some for k in set(x.tolist()))
+        assert {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == want
+        width = np.array([2 if x.max() < 65536 else 4 for x in some], np.int32)
+        column = packing._column(np.concatenate(some), at, width)
+        assert column.to_pylist() == [x.astype(f"<u{w}").tobytes() for x, w in zip(some, width, strict=True)]
+        ids, back = packing._ids(pa.RecordBatch.from_arrays([column, pa.array(width)], names=["ids", "width"]))
+        assert ids.tolist() == np.concatenate(some).tolist() and back.tolist() == at.tolist()
+
+
 def test_retrieval_prefers_shared_words():
     idf = np.ones(100)
     index = packing.Bm25([np.array([1, 2, 3]), np.array([50, 51]), np.array([2, 3, 60])], idf, 3)
