@@ -153,6 +153,17 @@ def test_pairs_over_a_floor_leave_tasks_as_numbers(spark):
     assert sorted(map(tuple, vo.pairs_over(v, 0.3).collect())) == [(0, "edge", 4950), (1, "edge", 4950)]
 
 
+def test_all_pairs_take_few_bits_in_files(spark, tmp_path):
+    """Every query with every reference once, in an order that files hold in far less than the two bytes a pair of plain codes."""
+    refs, queries = spark.range(20_020).select((F.col("id") * 7919).alias("target")), spark.range(0, 20_020, 20).select((F.col("id") * 7919).alias("query"))
+    rl.all_against_all(queries, refs).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    n = got.agg(F.count("*"), F.count_distinct("query"), F.count_distinct("target"), F.sum((F.col("query") * F.col("target")).cast("decimal(38,0)"))).first()
+    total = sum(range(20_020)) * 7919 * sum(range(0, 20_020, 20)) * 7919
+    assert tuple(map(int, n)) == (20_020 * 1001, 1001, 20_020, total)
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 20_020 * 1001 / 4  # two bits a pair
+
+
 def test_chunks_are_written_by_one_task_each(spark):
     from motifgrid.plans import catalog
 
