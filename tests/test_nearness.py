@@ -40,6 +40,15 @@ def test_first_false_positives_need_no_pairs(spark, monkeypatch, small_batches,
     assert sorted(got) == sorted(rk.first_false_positive(hits_of(p, q), p, F.struct("gap", "target")).collect()) and len(got) > (40 if folds > 1 else -1)
 
 
+def test_curves_need_no_pairs(spark, monkeypatch, small_batches):
+    p = made(spark, 4, VALUES)
+    q, thresholds = p.filter("prot_id % 3 = 0"), [15.0, 1.0, 18.5, 19.9, 20.0, -3.0]
+    monkeypatch.setattr(rk, "gaps", None)
+    got = rk.precision_recall_by_gap(p, q, lambda gap: 20 - gap, thresholds, 2.0).collect()
+    want = rk.precision_recall(hits_of(p, q).withColumn("score", 20 - F.col("gap")), p, thresholds, 2.0).collect()
+    assert len(got) == 6 and np.allclose(sorted(map(tuple, got)), sorted(map(tuple, want)))
+
+
 def test_odd_values_are_paired(spark):
     """Nulls, numbers that aren't finite, and values that differ by less than their gaps are rounded."""
     for odd in (None, float("nan"), float("inf")):
